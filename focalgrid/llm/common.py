@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -16,6 +17,14 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+def once(key: str, make):
+    """What ``make()`` gave when this process first asked for ``key``: worker processes serve many tasks."""
+    kept = sys.modules.setdefault("_focalgrid_once", types.ModuleType("_focalgrid_once")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data set in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,3 +67,6 @@ def remove(spark: SparkSession, path: str) -> None:
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """The bytes of all texts: the figure by which shards are sized."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0)).alias("n")).first()[0])
+
+
+ship(__name__)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .minhash_dedup import near_duplicates
+from .packing import pack
 from .substring_dedup import remove_repeated_passages
+from .toxicity import score, train
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +19,35 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    return pack(table(spark, sf_dir, "documents"), spec, capacity=2048, end_id=0).drop("ids")
+
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a similarity of 0.8 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a document's label is kept from training; false for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_minhash_dedup": op6_minhash_dedup,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLE_SQL: dict[str, str] = {}

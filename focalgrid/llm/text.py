@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import ship
+from .common import once, ship
 
 #: Bytes of text that are hashed at once; it bounds the memory of the vectors below (about 60 bytes a byte).
 CHUNK = 1 << 21
@@ -32,13 +32,12 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-def tables(lower: bool = False) -> dict:
-    """The tables that the functions below need; a worker process builds them once."""
-    import builtins
+def tables(lower: bool = False, letters_only: bool = False) -> dict:
+    """The tables that the functions below need.  lower: A-Z count as a-z.  letters_only: ASCII characters other than letters and digits separate words too."""
+    return once(f"tables {lower} {letters_only}", lambda: _tables(lower, letters_only))
 
-    kept = builtins.__dict__.setdefault("_word_hash_tables", {})
-    if lower in kept:
-        return kept[lower]
+
+def _tables(lower: bool, letters_only: bool) -> dict:
     base = int(constants(1, 77)[0])
     inverse = pow(base, -1, 1 << 64)
     byte = constants(256, 5)
@@ -46,8 +45,9 @@ def tables(lower: bool = False) -> dict:
         byte[65:91] = byte[97:123]
     white = np.zeros(256, bool)
     white[[9, 10, 11, 12, 13, 32]] = True
-    kept[lower] = {"base": base, "inverse": inverse, "byte": byte, "white": white, "powers": powers(base, 1024), "inverses": powers(inverse, 1024)}
-    return kept[lower]
+    if letters_only:
+        white[:128] = [not chr(i).isalnum() for i in range(128)]
+    return {"base": base, "inverse": inverse, "byte": byte, "white": white, "powers": powers(base, 1024), "inverses": powers(inverse, 1024)}
 
 
 def powers(base: int, n: int) -> np.ndarray:
