@@ -28,8 +28,8 @@ class Model:
     rows: int
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, text) pairs of some texts, ordered by text, each pair once."""
+def features(data: np.ndarray, offsets: np.ndarray, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, text) pairs of some texts, ordered by text, each pair once; only features that are true in ``wanted``, if given."""
     _, h, of = tx.words(data, offsets, tx.tables(lower=True, letters_only=True))
     c = tx.constants(4, 211)
     parts, texts = [tx.mix(h ^ c[0])], [of]
@@ -38,8 +38,11 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
             same = np.flatnonzero(of[:-gap] == of[gap:])
             parts.append(tx.mix(h[same] * c[0] + h[same + gap] * c[gap]))
             texts.append(of[same])
-    key = np.concatenate(texts).astype(np.uint64) << np.uint64(bits) | np.concatenate(parts) >> np.uint64(64 - bits)
-    key = np.unique(key)
+    ids, text = np.concatenate(parts) >> np.uint64(64 - bits), np.concatenate(texts).astype(np.uint64)
+    if wanted is not None:
+        keep = wanted[ids.astype(np.int64)]
+        ids, text = ids[keep], text[keep]
+    key = np.unique(text << np.uint64(bits) | ids)
     return (key & np.uint64((1 << bits) - 1)).astype(np.int64), (key >> np.uint64(bits)).astype(np.int64)
 
 
@@ -68,9 +71,24 @@ def ftrl(samples: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float,
     return weights(z, n), bias
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, bits: int = 20, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0, epochs: int = 3) -> Model:
+def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The score over which a row had best count as label 1, by F1; 0 if all labels are equal."""
+    if not len(labels) or labels.min() == labels.max():
+        return 0.0
+    order = np.argsort(-scores, kind="stable")
+    s, hits = scores[order], np.cumsum(labels[order])
+    f1 = 2 * hits / (np.arange(1, len(s) + 1) + labels.sum())
+    f1[:-1][s[1:] == s[:-1]] = -1  # a cut falls between different scores
+    i = int(f1.argmax())
+    return float((s[i] + s[min(i + 1, len(s) - 1)]) / 2)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, bits: int = 20, alpha: float = 2.0, beta: float = 1.0, l1: float | None = None, l2: float = 1.0, epochs: int = 4) -> Model:
     """Learn from at most ``max_rows`` labelled rows, those whose hashed id comes first; one task streams them.
 
+    Seven eighths of the rows teach the weights; the others set the bias, so that 0.5 is the probability over which
+    their F1 is best.  ``l1`` is by default a 1600th of the rows, between 1 and 10.
+
     Ids that ``labels`` repeats count by their largest label.  Null ids, null labels and labels without a document teach
     nothing.  Without any row the model is empty and scores 0.
     """
@@ -92,7 +110,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 ids, of = features(data[at[0] : at[-1]], at - at[0], bits)
                 samples += [x.astype(np.uint32) for x in np.split(ids, np.searchsorted(of, np.arange(1, j - i)))]
         y = np.concatenate(ys) if ys else np.zeros(0)
-        w, bias = ftrl(samples, y, bits, alpha, beta, l1, l2, epochs)
+        m = len(y) - len(y) // 8
+        penalty = min(10.0, max(1.0, len(y) / 1600)) if l1 is None else l1
+        w, bias = ftrl(samples[:m], y[:m], bits, alpha, beta, penalty, l2, epochs)
+        bias -= best_cut(np.array([w[x].sum() + bias for x in samples[m:]]), y[m:])
         ids = np.flatnonzero(w)
         yield pa.record_batch([pa.array([ids.astype("<u4").tobytes()], pa.binary()), pa.array([w[ids].astype("<f8").tobytes()], pa.binary()), pa.array([bias], pa.float64()), pa.array([len(y)], pa.int64())], ["ids", "weights", "bias", "rows"])
 
@@ -119,12 +140,13 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
 
         table = np.zeros(1 << model.bits, np.float64)
         table[model.ids] = model.weights
+        wanted = table != 0
         for batch in batches:
             data, offsets = tx.buffers(batch.column(rest.index(text_col)))
             out = np.zeros(len(batch))
             for i, j in tx.chunks(offsets):
                 at = offsets[i : j + 1]
-                ids, of = features(data[at[0] : at[-1]], at - at[0], model.bits)
+                ids, of = features(data[at[0] : at[-1]], at - at[0], model.bits, wanted)
                 out[i:j] = np.bincount(of, table[ids], minlength=j - i)
             with np.errstate(over="ignore"):
                 out = 1 / (1 + np.exp(-(out + model.bias)))
