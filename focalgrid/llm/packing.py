@@ -271,7 +271,7 @@ def pack(docs: DataFrame, spec: str, capacity: int = 2048, end_id: int = 0, grou
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     runs, _ = best_plan(histogram, capacity, groups)
     # ranks: a length of very many pieces is dealt into parts, each ranked by itself
-    part = max(20_000, sum(histogram.values()) // 100_000)
+    part = max(200, sum(histogram.values()) // 100_000)
     parts = F.greatest(F.lit(1), (F.col("n") / part).cast("long"))
     lengths = spark.createDataFrame(sorted(histogram.items()), "length long, n long").select("length", parts.alias("parts"))
     dealt = pieces.join(F.broadcast(lengths), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), "parts")).drop("parts")
