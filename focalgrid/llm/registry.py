@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table
 from .decontaminate import leaks
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .substring_dedup import remove_repeated_passages
 from .toxicity import score, train
+from .warc import read_archives, write_archives
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,13 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives with revisit records, and read back."""
+    path = new_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path, min_bytes=100)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place where a document holds a benchmark item."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -54,7 +62,18 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha256(html) as payload_digest from p),
+        f as (select payload_digest, min(page_id) as first_id from d where payload_bytes >= 100 group by 1)
+        select d.page_id, d.payload_bytes, d.payload_digest,
+            case when payload_bytes >= 100 and d.page_id > f.first_id then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 100 and d.page_id > f.first_id then f.first_id end as refers_to
+        from d left join f using (payload_digest)
+    """,
+}
