@@ -10,11 +10,18 @@ from .common import new_path, table
 from .decontaminate import leaks
 from .minhash_dedup import near_duplicates
 from .packing import pack
+from .secrets import find_secrets, joined
 from .substring_dedup import remove_repeated_passages
 from .toxicity import score, train
 from .warc import read_archives, write_archives
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("every")).alias("spans"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that 13-word passages of earlier documents cover, removed from every document."""
     out = remove_repeated_passages(table(spark, sf_dir, "documents"), n_words=13, texts_out=False)
@@ -59,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
