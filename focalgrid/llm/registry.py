@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import new_path, table
 from .decontaminate import leaks
+from .licenses import find_licenses
+from .licenses import oracle as license_oracle
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .secrets import find_secrets, joined
@@ -40,6 +42,11 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices of every document."""
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives with revisit records, and read back."""
     path = new_path(spark, "warc")
@@ -70,11 +77,13 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
+    "op7_license_scan": license_oracle(),
     "op8_warc": """
         with p as (select page_id, coalesce(html, '') as html from pages),
         d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha256(html) as payload_digest from p),
