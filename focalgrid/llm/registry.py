@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, table
 from .decontaminate import leaks
+from .embedding_dedup import near_vectors
 from .licenses import find_licenses
 from .licenses import oracle as license_oracle
 from .minhash_dedup import near_duplicates
@@ -37,6 +38,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), spec, capacity=2048, end_id=0).drop("ids")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label whose cosine is 0.93 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.93)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a similarity of 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
@@ -76,6 +82,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_warc": op8_warc,
