@@ -11,6 +11,7 @@ from .decontaminate import leaks
 from .embedding_dedup import near_vectors
 from .licenses import find_licenses
 from .licenses import oracle as license_oracle
+from .line_dedup import removed_lines
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .secrets import find_secrets, joined
@@ -38,6 +39,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), spec, capacity=2048, end_id=0).drop("ids")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that repeat an earlier line, with a similarity of word sets of 0.8 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
+    gone = removed_lines(docs, threshold=0.8)
+    out = lines.join(gone, "doc_id", "left")
+    n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of vectors of one label whose cosine is 0.93 or more."""
     return near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.93)
@@ -82,6 +93,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_license_scan": op7_license_scan,
