@@ -5,7 +5,7 @@ a set of Jaccard similarity ``threshold`` or more with it.
 
 1. Equal lines are grouped by a 128-bit digest; their first place speaks for all.
 2. A line's tokens are ordered by rarity.  Counts come from all lines; they are kept in a table of fixed size by
-   hashed token, a scalar subquery, so any two lines order their tokens alike whatever shares a slot.
+   hashed token, a constant of the plan, so any two lines order their tokens alike whatever shares a slot.
 3. Prefix filter: two similar sets share one of the first n - ceil(t * n) + 1 tokens of each.  These tokens are joined
    with themselves, under the length filter and the positional filter.
 4. Candidates are verified on the full sets of their lines.
@@ -49,20 +49,18 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     that repeat an id hold one place with each line number: they don't remove each other's lines there.  An empty table
     gives an empty result; other columns are not used.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = _lines(d)
 
     words = d.where("doc_id is not null").select(F.explode(_tokens(F.col("text"))).alias("w"))
     counts = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    table = materialize(counts.agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("counts")), "counts")
-    table.createOrReplaceTempView("focalgrid_line_token_counts")
-    rarity = F.expr("(select counts from focalgrid_line_token_counts)")
+    # half powers of two of the count of each slot: ``SLOTS`` small numbers, which become one constant of the plan
+    known = {r.slot: r.level for r in counts.select("slot", F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1) * 2).cast("int")).alias("level")).collect()}
+    levels = F.split(F.lit(",".join(str(known.get(i, 0)) for i in range(SLOTS))), ",").cast("array<bigint>")
 
-    # a token as a number: the logarithm of its count above 56 bits of its hash; numbers order tokens by rarity
+    # a token as a number: the level of its count above 56 bits of its hash; numbers order tokens by rarity
     def number(token: Column) -> Column:
-        level = F.least(F.lit(127), F.floor(F.log2(F.get(rarity, _slot(token)) + 1) * 2).cast("int")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(token), 8))
+        return F.shiftleft(F.get(levels, _slot(token)), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(token), 8))
 
     numbers = F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), number)))
     size = F.size("numbers")

@@ -1,13 +1,14 @@
 """Near-duplicate documents: MinHash bands, odd sketches and a check on the full shingle sets.
 
-Each document's distinct shingles give ``perms`` MinHash samples.  Bands of samples are the keys of candidate buckets.
-The samples are also folded into an *odd sketch*, a bitmap in which each sample flips one bit; the population count of
-the XOR of two sketches estimates how many samples differ, and with it the Jaccard similarity.  Candidates whose
-estimate is clearly too low go; the others are compared on their full shingle sets.
-
-Documents with equal sets are one node.  A first pass compares each bucket's members with its smallest one only, which
-joins most groups of copies; a second pass takes the pairs of buckets that still hold several components.  No pair that
-shares a band is left out, unless its ends are already linked through others.
+Each document's distinct shingles give MinHash samples.  Bands of samples are the keys of candidate buckets.  For the
+documents that meet others, more samples are folded into an *odd sketch*, a bitmap in which each sample flips one bit;
+the population count of the XOR of two sketches estimates how many samples differ, and with it the Jaccard similarity.
+Candidates whose estimate is clearly too low go; the others are compared on their full shingle sets.
+
+Documents with equal sets are one node.  At first the members of a bucket are compared with one of them only, in a few
+rounds with another one each; that joins most groups of copies, and buckets of one component are done.  A last round
+takes all pairs of the other buckets' components.  No pair that shares a band is left out, unless its ends are already
+linked through others.
 """
 
 from __future__ import annotations
@@ -15,26 +16,25 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .common import materialize, ship
 from .graph import components
 
-#: Bits of an odd sketch.
-SKETCH_BITS = 512
+#: Samples in an odd sketch, and its bits.
+SKETCH_SAMPLES, SKETCH_BITS = 512, 2048
 _LONGS = SKETCH_BITS // 64
-_SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(_LONGS))
 
 
-def sketch_limit(similarity: float, perms: int) -> int:
+def sketch_limit(similarity: float) -> int:
     """The XOR population count expected of two documents of that similarity."""
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * perms * (1 - similarity) / SKETCH_BITS)))
+    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * SKETCH_SAMPLES * (1 - similarity) / SKETCH_BITS)))
 
 
-def signatures(data: np.ndarray, offsets: np.ndarray, k: int, perms: int, bands: int):
-    """Of some texts: (set sizes, two digests of the sets, band keys, sketches); rows of empty sets hold zeros."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, k: int):
+    """The distinct shingles of some texts: (hashes, text of each), ordered by text; a text of fewer words is one shingle."""
     n = len(offsets) - 1
     _, hashes, of = tx.words(data, offsets, tx.tables(lower=True))
     grams, first = tx.shingles(hashes, of, k)
@@ -54,34 +54,53 @@ def signatures(data: np.ndarray, offsets: np.ndarray, k: int, perms: int, bands:
         new = np.ones(len(grams), bool)
         new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
         grams, doc = grams[new], doc[new]
+    return grams, doc
+
+
+def minhash(grams: np.ndarray, starts: np.ndarray, perms: int, seed: int) -> np.ndarray:
+    """``perms`` MinHash samples of each text whose shingles begin at ``starts``."""
+    samples = np.zeros((perms, len(starts)), np.uint64)
+    flips, factors = tx.constants(perms, seed), tx.constants(perms, seed + 2)
+    space = np.empty_like(grams)
+    for i in range(perms):
+        np.bitwise_xor(grams, flips[i], out=space)
+        np.multiply(space, factors[i], out=space)
+        samples[i] = np.minimum.reduceat(space, starts)
+    return samples
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray, k: int, bands: int, rows: int):
+    """Of some texts: (set sizes, two digests of the sets, keys of the bands); texts without shingles have zeros."""
+    n = len(offsets) - 1
+    grams, doc = shingles_of(data, offsets, k)
     sizes = np.bincount(doc, minlength=n)
     have = np.flatnonzero(sizes)
-    starts = np.searchsorted(doc, have)
-    d = np.zeros((2, n), np.uint64)
-    samples = np.zeros((perms, len(have)), np.uint64)
+    digests, keys = np.zeros((2, n), np.uint64), np.zeros((n, bands), np.uint64)
     if len(have):
+        starts = np.searchsorted(doc, have)
         for i, c in enumerate(tx.constants(2, 19)):
-            d[i, have] = np.add.reduceat(tx.mix(grams ^ c), starts)
-        flips, factors = tx.constants(perms, 101), tx.constants(perms, 103)
-        space = np.empty_like(grams)
-        for i in range(perms):
-            np.bitwise_xor(grams, flips[i], out=space)
-            np.multiply(space, factors[i], out=space)
-            samples[i] = np.minimum.reduceat(space, starts)
-    rows = perms // bands
-    keys = np.zeros((n, bands), np.uint64)
-    sketch = np.zeros((n, SKETCH_BITS // 8), np.uint8)
-    if len(have):
+            digests[i, have] = np.add.reduceat(tx.mix(grams ^ c), starts)
+        samples = minhash(grams, starts, bands * rows, 101)
         c = tx.constants(rows, 107)
         for b in range(bands):
             keys[have, b] = tx.mix(sum(samples[b * rows + j] * c[j] for j in range(rows)) + np.uint64(b))
-        bit = (tx.mix(samples ^ tx.constants(perms, 109)[:, None]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return sizes, digests, keys
+
+
+def sketches(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """The odd sketch of each text, as rows of 64-bit numbers."""
+    grams, doc = shingles_of(data, offsets, k)
+    have = np.unique(doc)
+    out = np.zeros((len(offsets) - 1, SKETCH_BITS // 8), np.uint8)
+    if len(have):
+        samples = minhash(grams, np.searchsorted(doc, have), SKETCH_SAMPLES, 211)
+        bit = (tx.mix(samples ^ tx.constants(SKETCH_SAMPLES, 109)[:, None]) % np.uint64(SKETCH_BITS)).astype(np.int64)
         flat = np.bincount((bit + np.arange(len(have)) * SKETCH_BITS).ravel(), minlength=len(have) * SKETCH_BITS) & 1
-        sketch[have] = np.packbits(flat.astype(np.uint8).reshape(len(have), SKETCH_BITS), axis=1)
-    return sizes, d, keys, sketch
+        out[have] = np.packbits(flat.astype(np.uint8).reshape(len(have), SKETCH_BITS), axis=1)
+    return out.view(np.int64)
 
 
-def _signatures(k: int, perms: int, bands: int):
+def _signatures(k: int, bands: int, rows: int):
     def run(batches):
         import pyarrow as pa
 
@@ -89,11 +108,24 @@ def _signatures(k: int, perms: int, bands: int):
             data, offsets = tx.buffers(batch.column("text"))
             for i, j in tx.chunks(offsets):
                 at = offsets[i : j + 1]
-                sizes, d, keys, sketch = signatures(data[at[0] : at[-1]], at - at[0], k, perms, bands)
-                longs = sketch.view(np.int64)
+                sizes, d, keys = signatures(data[at[0] : at[-1]], at - at[0], k, bands, rows)
                 some = sizes > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), pa.array(keys[some].view(np.int64).ravel()))
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists, *(pa.array(np.ascontiguousarray(longs[:, x])) for x in range(_LONGS))], ["doc_id", "n_shingles", "d1", "d2", "bands", *(f"s{x}" for x in range(_LONGS))])
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+
+    return run
+
+
+def _sketches(k: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data, offsets = tx.buffers(batch.column("text"))
+            for i, j in tx.chunks(offsets, tx.CHUNK // 4):
+                at = offsets[i : j + 1]
+                longs = sketches(data[at[0] : at[-1]], at - at[0], k)
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), *(pa.array(np.ascontiguousarray(longs[:, x])) for x in range(_LONGS))], ["node", *(f"s{x}" for x in range(_LONGS))])
 
     return run
 
@@ -124,53 +156,63 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, perms: int = 128, bands: int = 32, slack: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, slack: float = 0.08, centres: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of k-word shingles; component_id is
     the smallest id that links reach.  A pair of similarity 0.8 misses all of 32 bands of 4 samples once in 10**7; the
-    sketch drops candidates that it estimates ``slack`` below the threshold, over five standard deviations.
+    sketch drops candidates that it estimates ``slack`` below the threshold, over four standard deviations.
 
     A null or blank text has an empty set and is linked with nothing.  A null id has a null component and is kept.
     Rows that repeat an id are one node.  An empty table gives an empty result; other columns are not used.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    p = materialize(d.mapInArrow(_signatures(k, perms, bands), _SIGNATURE), "signatures")
+    p = materialize(d.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
     able = p.where("n_shingles > 0 and doc_id is not null")
     groups = able.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    sketches = [f"s{i}" for i in range(_LONGS)]
     nodes = able.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    met = materialize(rows.join(shared, "key"), "buckets")
-    marks = materialize(nodes.select(F.col("doc_id").alias("node"), *sketches).join(met.select("node").distinct(), "node", "left_semi"), "sketches")
+    members = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
+    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    met = materialize(members.join(shared, "key"), "buckets")
     texts = materialize(d.join(met.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    limit = sketch_limit(percent / 100 - slack, perms)
+    sketch = [f"s{i}" for i in range(_LONGS)]
+    marks = materialize(texts.mapInArrow(_sketches(k), "node long, " + ", ".join(f"{x} long" for x in sketch)), "sketches")
+    limit = sketch_limit(percent / 100 - slack)
 
-    def near(x: str, y: str):
-        return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in sketches), F.lit(0)) <= limit
+    def near() -> Column:
+        return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in sketch), F.lit(0)) <= limit
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long")
 
-    stars = met.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    x, y = marks.alias("x"), marks.alias("y")
-    stars = materialize(stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near("x", "y")).select("a", "b"), "pairs")
-    links = materialize(confirmed(stars), "links")
-    reached = materialize(components(links), "components")
-
-    label = F.coalesce("component", "node")
-    named = met.select("key", "node").join(reached, "node", "left").select("key", "node", label.alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_rows = materialize(named.join(mixed, "key", "left_semi").join(marks, "node"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near("x", "y"))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = materialize(confirmed(rest.join(stars, ["a", "b"], "left_anti")), "links")
-    if not more.isEmpty():
-        reached = materialize(components(links.union(more)), "components")
+    # rows of the buckets with more than one component
+    open_rows = met.select("key", "node", F.col("node").alias("component"))
+    tried = links = None
+    for turn in range(centres + 1):
+        if turn < centres:
+            # each bucket's members against one of them: the smallest, then others by hash
+            order = F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.lit(0), "node", "component")
+            centre = open_rows.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
+            pairs = open_rows.join(centre, "key").where("component <> own").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+            pairs = pairs.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node")).where(near()).select("a", "b")
+        else:
+            full = open_rows.join(marks, "node")
+            same = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
+            pairs = full.alias("x").join(full.alias("y"), same & near()).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        new = materialize(confirmed(pairs), "links")
+        tried = pairs if tried is None else tried.union(pairs)
+        if turn and new.isEmpty():
+            continue
+        links = new if links is None else links.union(new)
+        reached = materialize(components(links), "components")
+        named = met.join(reached, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        open_rows = materialize(named.join(mixed, "key", "left_semi"), "open")
 
     named = able.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["n_shingles", "d1", "d2"])
     named = named.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
