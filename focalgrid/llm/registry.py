@@ -10,9 +10,9 @@ from .common import new_path, table
 from .decontaminate import leaks
 from .embedding_dedup import near_vectors
 from .licenses import find_licenses
-from .licenses import oracle as license_oracle
 from .line_dedup import removed_lines
 from .minhash_dedup import near_duplicates
+from .oracle import ORACLE_SQL
 from .packing import pack
 from .secrets import find_secrets, joined
 from .substring_dedup import remove_repeated_passages
@@ -101,15 +101,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL = {
-    "op7_license_scan": license_oracle(),
-    "op8_warc": """
-        with p as (select page_id, coalesce(html, '') as html from pages),
-        d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha256(html) as payload_digest from p),
-        f as (select payload_digest, min(page_id) as first_id from d where payload_bytes >= 100 group by 1)
-        select d.page_id, d.payload_bytes, d.payload_digest,
-            case when payload_bytes >= 100 and d.page_id > f.first_id then 'revisit' else 'response' end as record_type,
-            case when payload_bytes >= 100 and d.page_id > f.first_id then f.first_id end as refers_to
-        from d left join f using (payload_digest)
-    """,
-}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

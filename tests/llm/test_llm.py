@@ -295,7 +295,7 @@ def test_licenses(spark):
 
 def compared(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     a, b = registry.QUERIES[name](spark, SF).toPandas(), c.sql(registry.ORACLE_SQL[name]).df()
 
