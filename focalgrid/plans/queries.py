@@ -565,10 +565,10 @@ def decode_roi_z(spark, sf_dir):
 # clusters, classes, topics
 
 
-@query(f"with {ad.VOXELS}, v as (select voxel_id from sv group by 1 having count(*) >= 8), s as (select study_id from sv group by 1 having count(*) >= 150) select study_id, voxel_id from sv join v using (voxel_id) join s using (study_id)")
+@query(f"with {ad.VOXELS}, v as (select voxel_id from sv group by 1 having count(*) >= 3), s as (select study_id from sv group by 1 having count(*) >= 60) select study_id, voxel_id from sv join v using (voxel_id) join s using (study_id)")
 def clusterable_filter(spark, sf_dir):
     """Voxels of enough studies and studies of enough voxels."""
-    return cluster.Clusterable(ad.dataset(spark, sf_dir, False), min_studies=8, min_voxels=150).data
+    return cluster.Clusterable(ad.dataset(spark, sf_dir, False), min_studies=3, min_voxels=60).data
 
 
 @query(
