@@ -198,9 +198,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             pairs = open_rows.join(centre, "key").where("component <> own").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
             pairs = pairs.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node")).where(near()).select("a", "b")
         else:
-            full = open_rows.join(marks, "node")
+            # a pair that shares several buckets is taken in the one of the least key; a node has at most ``bands`` keys
+            keys = open_rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
+            full = open_rows.join(marks, "node").join(keys, "node")
             same = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-            pairs = full.alias("x").join(full.alias("y"), same & near()).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+            pairs = full.alias("x").join(full.alias("y"), same & near() & first).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -210,7 +213,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             continue
         links = new if links is None else links.union(new)
         reached = materialize(components(links), "components")
-        named = met.join(reached, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        # a bucket of one component stays one
+        named = open_rows.select("key", "node").join(reached, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         open_rows = materialize(named.join(mixed, "key", "left_semi"), "open")
 
