@@ -23,15 +23,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         # small-star: now every edge runs from the larger to the smaller end
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         after = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        # done when no node has two parents and no parent has a parent
-        state = after.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        done = (state or 1) == 1 and after.select(F.col("v").alias("x")).join(after.select(F.col("u").alias("x")), "x", "left_semi").isEmpty()
+        # done when no node has two parents and no parent has a parent: one aggregate over the ends of all edges
+        ends = after.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(after.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        done = ends.where("child > 1 or child = 1 and parent = 1").isEmpty()
         for old in {p.rsplit("/", 1)[0] for p in now.inputFiles()}:
             remove(spark, old)
         now = after
