@@ -1,13 +1,14 @@
 """Removal of lines that repeat an earlier line, by an exact set-similarity join.
 
-A line's set holds its distinct words, A-Z as a-z.  A line goes if an earlier one, by document id and line number, has
+A line's set holds its distinct words, in lower case.  A line goes if an earlier one, by document id and line number, has
 a set of Jaccard similarity ``threshold`` or more with it.
 
 1. Equal lines are grouped by a 128-bit digest; their first place speaks for all.
 2. A line's tokens are ordered by rarity.  Counts come from all lines; they are kept in a table of fixed size by
    hashed token, a constant of the plan, so any two lines order their tokens alike whatever shares a slot.
 3. Prefix filter: two similar sets share one of the first n - ceil(t * n) + 1 tokens of each.  These tokens are joined
-   with themselves, under the length filter and the positional filter.
+   with themselves, under the length filter and the positional filter, and under a bound on the sets' symmetric
+   difference: each token flips one of 64 bits, so at least as many tokens differ as bits of the XOR are set.
 4. Candidates are verified on the full sets of their lines.
 
 All of it is DataFrame functions.  Only lines are rows, so the removal of very common lines is an aggregate with
@@ -21,21 +22,28 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship
 
+#: Numbers of lines, of 8 bytes, that may be sent to all executors.
+MAX_BROADCAST = 1_000_000
+
 #: Slots of the table of token counts.
 SLOTS = 1 << 16
 
 
 def _tokens(line: Column) -> Column:
-    """The words of a line, A-Z as a-z; a blank line has the one word ''."""
-    return F.split(F.trim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x09-\\x0D\\x20]+", " ")), " ")
+    """The words of a line, in lower case."""
+    return F.array_remove(F.split(F.lower(line), "[\\x09-\\x0D\\x20]+"), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """place, a number that orders all lines, h1 and h2, the digest of the line, and line; blank lines are left out."""
+    """doc_id, n, h1 and h2, the digest of the line, and line; blank lines are left out."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     lines = lines.where(F.col("line").rlike("[^\\x09-\\x0D\\x20]"))
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("n").cast("decimal(11,0)")
-    return lines.select("doc_id", "n", place.cast("decimal(38,0)").alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(17)).alias("h2"), "line")
+    return lines.select("doc_id", "n", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(17)).alias("h2"), "line")
+
+
+def _place() -> Column:
+    """A number that orders all lines by doc_id and n."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("n").cast("decimal(11,0)")).cast("decimal(38,0)")
 
 
 def _slot(token: Column) -> Column:
@@ -65,19 +73,24 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     numbers = F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), number)))
     size = F.size("numbers")
     prefix = F.slice("numbers", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    ready = lines.select("place", "h1", "h2", F.explode(F.array(numbers)).alias("numbers")).select("place", "h1", "h2", size.alias("size"), prefix.alias("prefix"))
-    distinct = ready.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+    one = F.lit(1).cast("long")
+    bits = F.aggregate("numbers", F.lit(0).cast("long"), lambda b, x: b.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))))
+    ready = lines.select(_place().alias("place"), "h1", "h2", F.explode(F.array(numbers)).alias("numbers")).select("place", "h1", "h2", size.alias("size"), bits.alias("bits"), prefix.alias("prefix"))
+    distinct = ready.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("size", "bits", "prefix")))
     distinct = materialize(distinct, "lines")
 
-    rows = distinct.select("h1", "size", F.posexplode("prefix").alias("i", "token"))
+    rows = distinct.select("h1", "size", "bits", F.posexplode("prefix").alias("i", "token"))
     x, y = rows.alias("x"), rows.alias("y")
     need = F.ceil((F.col("x.size") + F.col("y.size")) * (threshold / (1 + threshold)) - 1e-9)
     most = 1 + F.least(F.col("x.size") - F.col("x.i"), F.col("y.size") - F.col("y.i")) - 1
     fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.h1") < F.col("y.h1")) & (most >= need)
     fits = fits & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold - 1e-9)
+    fits = fits & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= F.col("x.size") + F.col("y.size") - 2 * need)
     pairs = materialize(x.join(y, fits).select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct(), "pairs")
 
-    met = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
+    met = materialize(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "met")
+    if met.count() <= MAX_BROADCAST:
+        met = F.broadcast(met)  # else all lines move to their numbers
     texts = lines.select("h1", "line").join(met, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
     texts = materialize(texts, "texts")
     first = texts.select(F.col("h1").alias("a"), F.col("line").alias("line_a"))
@@ -95,7 +108,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     known = ends.groupBy(F.col("a").alias("h1")).agg(F.count(F.lit(1)).alias("links"), F.bool_or(F.col("pb") < F.col("pa")).alias("later"))
     known = distinct.select("h1", "h2", F.col("place").alias("first"), "copies").join(known, "h1", "left").where("copies > 1 or links is not null")
     marked = lines.drop("line").join(known, ["h1", "h2"])
-    gone = F.coalesce(F.col("later"), F.lit(False)) | (F.col("place") > F.col("first"))
+    gone = F.coalesce(F.col("later"), F.lit(False)) | (_place() > F.col("first"))
     return marked.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(gone, F.col("n")))).alias("removed"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
 
 
