@@ -3,8 +3,8 @@
 A rotation of the principal axes, learnt on a bounded sample so that the signs of the rotated components lose little,
 gives every vector a binary code.  The code is cut into substrings, one table each; vectors that agree on a substring
 meet in a bucket and are compared there by their original components, in double precision.  A pair that shares several
-buckets counts in the first table only.  How many tables there are is chosen on the sample, by recall against brute
-force.
+buckets counts in the first table only.  How many tables there are is chosen by the recall of pairs of the threshold's
+cosine, planted on the sample's vectors, so it doesn't depend on which pairs the sample holds.
 
 Equal vectors are one row with a weight.  A bucket of more than ``block`` rows is cut into blocks and each pair of
 blocks is a group of its own, so no task holds a whole hot bucket.  What leaves a group is a count for each vector and
@@ -25,12 +25,17 @@ from .graph import components
 
 @dataclass(frozen=True)
 class Index:
-    """code = signs of (unit vector - mean) @ rotation; ``tables`` substrings; ``recall`` on the sample."""
+    """code = signs of (unit vector - mean) @ rotation; ``tables`` substrings.
+
+    ``recall`` is the lower of that on planted pairs of the threshold's cosine and that on the sample's own pairs;
+    ``bands`` has (cosine, recall) of planted pairs from the threshold up.
+    """
 
     mean: np.ndarray
     rotation: np.ndarray
     tables: int
     recall: float
+    bands: tuple[tuple[float, float], ...] = ()
 
 
 def itq(sample: np.ndarray, bits: int, rounds: int = 50, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -55,26 +60,61 @@ def substrings(unit: np.ndarray, mean: np.ndarray, rotation: np.ndarray, tables:
     return out
 
 
+def partners(unit: np.ndarray, cosine: float, seed: int = 0) -> np.ndarray:
+    """A vector of the given cosine to each unit vector, in a random direction."""
+    off = np.random.default_rng(seed).normal(size=unit.shape)
+    off -= (off * unit).sum(axis=1, keepdims=True) * unit
+    off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-9)
+    out = cosine * unit + np.sqrt(max(0.0, 1 - cosine * cosine)) * off
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def _choices(mean: np.ndarray, rotation: np.ndarray, seed: int = 0):
+    """(rotation, tables), the fewest tables first.  After the narrowest substrings of one code come codes of further,
+    random rotations, and last a code of no bits, which has all vectors in one bucket."""
+    size, bits = rotation.shape
+    for tables in sorted({max(1, bits // width) for width in (16, 12, 10, 8, 6, 4)}):
+        yield rotation, tables
+    rng = np.random.default_rng(seed)
+    for codes in (2, 4, 8):
+        more = [np.linalg.qr(rng.normal(size=(size, size)))[0][:, :bits] for _ in range(codes - 1)]
+        yield np.concatenate([rotation, *more], axis=1), codes * max(1, bits // 8)
+    yield rotation[:, :0], 1
+
+
 def fit(sample: np.ndarray, labels: np.ndarray, similarity: float, least_recall: float = 0.99) -> Index:
-    """Learn the rotation, and take the fewest tables that find ``least_recall`` of the sample's pairs."""
+    """Learn the rotation, and take the fewest tables that find ``least_recall`` of the pairs of exactly ``similarity``.
+
+    Those pairs are planted, 8,192 at least: each distinct vector of the sample's odd rows has as many partners as that
+    takes.  The rotation is learnt on the even rows, because it suits the vectors it is learnt on better than others.
+    Pairs that the sample itself holds must be found as often; that it holds none says nothing.
+    """
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     bits = min(64, unit.shape[1])
-    mean, rotation = itq(unit, bits) if len(unit) > 1 else (np.zeros(unit.shape[1]), np.eye(unit.shape[1])[:, :bits])
-    pairs = []
-    for x in np.unique(labels):
-        at = np.flatnonzero(labels == x)
+    mean, rotation = itq(unit[::2], bits) if len(unit) > 2 else (np.zeros(unit.shape[1]), np.eye(unit.shape[1])[:, :bits])
+    own = np.unique(np.column_stack([labels, unit]), axis=0, return_index=True)[1]
+    pairs = [np.zeros((2, 0), np.int64)]
+    for x in np.unique(labels[own]):
+        at = own[labels[own] == x]
         for i in range(0, len(at), 1024):
             a, b = np.nonzero(unit[at[i : i + 1024]] @ unit[at].T >= similarity)
             keep = at[i + a] < at[b]
             pairs.append(np.stack([at[i + a][keep], at[b][keep]]))
-    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-    recall = 1.0
-    for tables in sorted({max(1, bits // width) for width in (16, 12, 10, 8, 6, 4)}):
-        sub = substrings(unit, mean, rotation, tables)
-        recall = float((sub[a] == sub[b]).any(axis=1).mean()) if len(a) else 1.0
+    a, b = np.concatenate(pairs, axis=1)
+    base = np.unique(unit[1::2] if len(unit) > 1 else unit, axis=0)
+    base = np.repeat(base, -(-8192 // len(base)), axis=0)
+    cosines = [similarity + (1 - similarity) * x / 4 for x in range(4)]
+    planted = [partners(base, c, i) for i, c in enumerate(cosines)]
+    for turn, tables in _choices(mean, rotation):
+        at = substrings(base, mean, turn, tables)
+        bands = tuple((c, float((at == substrings(p, mean, turn, tables)).any(axis=1).mean())) for c, p in zip(cosines, planted))
+        sub, met = substrings(unit, mean, turn, tables), np.zeros(len(a), bool)
+        for column in sub.T:
+            met |= column[a] == column[b]
+        recall = min(bands[0][1], float(met.mean()) if len(a) else 1.0)
         if recall >= least_recall:
             break
-    return Index(mean, rotation, tables, recall)
+    return Index(mean, turn, tables, recall, bands)
 
 
 def _keys(index: Index):
@@ -150,7 +190,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, max_sample: int =
     """One row a row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors with one label are linked if their cosine is at least ``similarity``.  The index is fitted on the
-    ``max_sample`` usable vectors whose hashed ids come first, and holds all vectors.
+    ``max_sample`` distinct usable vectors whose hashed ids come first, and holds all vectors.
 
     Vectors that are null, zero, hold null or non-finite components, have another number of components than most, or
     have a null label or id link with nothing.  Rows that repeat an id and a vector each count as a link of the others;
@@ -166,11 +206,11 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, max_sample: int =
         return v.select("vec_id", *alone)
     # scaled, so that squares neither overflow nor vanish
     usable = usable.where(F.size("v") == size["d"]).select("vec_id", "label", F.transform("v", lambda x: x / big).alias("v"))
-    taken = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).collect()
+    distinct = materialize(usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "distinct")
+    taken = distinct.orderBy(F.xxhash64("rep"), "rep").limit(max_sample).collect()
     names = {x: i for i, x in enumerate(sorted({r.label for r in taken}))}
     index = fit(np.array([r.v for r in taken]), np.array([names[r.label] for r in taken]), similarity)
 
-    distinct = usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     reps = materialize(distinct.select("rep", "label", "weight", "v").mapInArrow(_keys(index), "rep long, label string, weight long, v array<double>, sub array<long>"), "codes")
     rows = reps.select("*", F.posexplode("sub").alias("at", "key"))
     hot = reps.select("label", F.posexplode("sub").alias("at", "key")).groupBy("label", "at", "key").agg(F.count(F.lit(1)).alias("n"))

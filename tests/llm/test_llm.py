@@ -242,6 +242,27 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(d.limit(0)).count() == 0
 
 
+def test_vectors_of_few_pairs(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = embedding_dedup.partners(x[:200], 0.935)
+    sample = x[:500]
+    index = embedding_dedup.fit(sample, np.zeros(500, int), 0.93)
+    assert index.recall >= 0.99 and index.bands[0] == (0.93, index.recall) and [c for c, _ in index.bands] == sorted(c for c, _ in index.bands)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, near]))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(d, max_sample=100).collect()}
+    assert sum(got[2000 + i].component_id == i for i in range(200)) >= 194
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 16])
+def test_index_of_short_vectors(size):
+    sample = np.random.default_rng(size).normal(size=(50, size))
+    index = embedding_dedup.fit(sample, np.arange(50), 0.93)
+    assert index.recall >= 0.99
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_documents(spark, corpus, k):
     sets = [shingles(t, k) for t in corpus]
