@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 def run_lda(abstracts: DataFrame, n_topics: int = 50, n_words: int = 31, n_iters: int = 20, alpha: float | None = None, beta: float = 0.001, vocabulary: int = 50_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(weights (doc_id, topic, weight), keys (topic, terms)) of abstracts (pmid, abstract).
 
-    ``alpha`` is the sum over the topics, 50 by default.  The optimiser is the online variational one, so topics agree
-    with those of a sampler in kind, not in number.
+    ``alpha`` is the sum over the topics, 50 by default.  The optimiser is the online variational one, with all documents
+    in every iteration; topics agree with those of a sampler in kind, not in number.
     """
     d = abstracts.where(F.trim("abstract") != "").select(F.col("pmid").cast("string").alias("doc_id"), "abstract")
     words = RegexTokenizer(inputCol="abstract", outputCol="words", pattern=r"[^\p{L}]+", minTokenLength=2).transform(d)
     kept = StopWordsRemover(inputCol="words", outputCol="kept").transform(words)
     counter = CountVectorizer(inputCol="kept", outputCol="features", vocabSize=vocabulary).fit(kept)
     vectors = counter.transform(kept).select("doc_id", "features")
-    lda = LDA(k=n_topics, maxIter=n_iters, seed=seed, optimizer="online", docConcentration=[(50.0 if alpha is None else alpha) / n_topics] * n_topics, topicConcentration=beta)
+    lda = LDA(k=n_topics, maxIter=n_iters, seed=seed, optimizer="online", subsamplingRate=1.0, docConcentration=[(50.0 if alpha is None else alpha) / n_topics] * n_topics, topicConcentration=beta)
+    vectors.persist()  # every iteration reads all of them
     model = lda.fit(vectors)
+    vectors.unpersist()
     weights = model.transform(vectors).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
     return weights, top_words(model, counter.vocabulary, n_words)
 

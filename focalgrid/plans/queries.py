@@ -628,7 +628,7 @@ def kmeans_clusters(spark, sf_dir):
 def lda_topics(spark, sf_dir):
     """The topics of documents."""
     docs = ad.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pmid"), F.col("text").alias("abstract"))
-    return topics.run_lda(docs, n_topics=5, n_words=10, n_iters=3, vocabulary=1000)[1]
+    return topics.run_lda(docs)[1]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

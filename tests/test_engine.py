@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from focalgrid import utils
 from focalgrid.functions import geometry, stats
-from focalgrid.operators import classify, cluster, decode, meta, regions
+from focalgrid.operators import classify, cluster, decode, meta, regions, topics
 from focalgrid.operators.dataset import Dataset
 from focalgrid.operators.expression import Leaf, parse
 from focalgrid.operators.features import FeatureTable
 from focalgrid.operators.masker import Masker
+from focalgrid.plans.queries import QUERIES
 from focalgrid.sources import activations, nifti
 
+from .conftest import SF
+
 FOCI = {
     "study1": [(-26, 54, 14), (52, 18, 12), (10, 16, 32), (1000, 1000, 1000)],
     "study2": [(12, 57, -60), (33, 21, 15), (24, 15, 60), (42, 6, 51)],
@@ -262,6 +265,17 @@ def test_clusters(data):
     assert np.allclose(np.cov(cluster.independent(x), rowvar=False), np.eye(3), atol=0.05)
 
 
+def test_topics_learn_from_all_documents(spark, monkeypatch):
+    made, real, asked = [], topics.LDA, []
+    monkeypatch.setattr(topics, "LDA", lambda **k: made.append(real(**k)) or made[-1])
+    docs = spark.createDataFrame([(i, "apple pear plum" if i % 2 else "nail screw hammer") for i in range(20)], "pmid int, abstract string")
+    weights, keys = topics.run_lda(docs, n_topics=2, n_words=3, n_iters=2)
+    assert weights.count() == 40 and keys.count() == 2 and made[0].getSubsamplingRate() == 1.0
+    monkeypatch.setattr(topics, "run_lda", lambda docs, **k: asked.append(k) or (None, docs))
+    QUERIES["lda_topics"](spark, SF)
+    assert asked == [{}]
+
+
 def test_classes(spark):
     rows = spark.createDataFrame([(f"s{i}", float(i % 2), [float(i % 2) + 0.01 * i, 1.0, float(i % 7)]) for i in range(60)], "study_id string, label double, x array<double>")
     assert classify.select_features(rows, "1-best") == [0]
