@@ -14,6 +14,7 @@ offset), of bounded size; a document finds its place by its rank among those of
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -51,7 +52,10 @@ class WordTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.cached = '"Lowercase"' in spec and _SPLIT.replace("\\", "\\\\") in spec
+        # the library takes added tokens out of a text before anything else, so a text that may hold one is left to it
+        added = [t["content"] for t in json.loads(spec).get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        self.cached = '"Lowercase"' in spec and _SPLIT.replace("\\", "\\\\") in spec and not any(re.search(r"\s", t) for t in added)
 
     def word(self, w: str) -> bytes:
         out: list[int] = []
@@ -63,7 +67,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if not self.cached or not self.plain.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
+        if not self.cached or self.added.search(text) or not self.plain.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known = self.known
         if len(known) > KEPT_WORDS:

@@ -194,6 +194,17 @@ def test_packing_round_trip(spark, corpus):
     assert packing.pack(docs_of(spark, []), spec).count() == 0
 
 
+def test_added_tokens_in_plain_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens, whole = packing.WordTokenizer(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    for t in ("a b <|endoftext|> c", "<|startoftext|>a<|endoftext|>", "x<|ENDOFTEXT|>y", "<|endoftext|", "a < b"):
+        assert np.frombuffer(tokens.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert 49407 in np.frombuffer(tokens.encode("a b <|endoftext|> c"), "<u4")
+
+
 def brute_lines(texts):
     seen, gone = [], defaultdict(list)
     for i, t in enumerate(texts):
