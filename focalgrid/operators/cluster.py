@@ -58,7 +58,11 @@ class Clusterable:
         return transformer.fit_transform(m.T if transpose else m)
 
 
-def study_components(data: DataFrame, n_components: int, max_studies: int = 10_000) -> DataFrame:
+#: Rows whose Gram matrix goes to the driver: 8 bytes times the square of them.
+MAX_ROWS = 10_000
+
+
+def study_components(data: DataFrame, n_components: int, max_studies: int = MAX_ROWS) -> DataFrame:
     """(study_id, c array<double>): principal components of studies by voxels, from the Gram matrix of the studies.
 
     Only as many studies as ``max_studies`` are accepted: the matrix of their common voxels goes to the driver.
@@ -116,12 +120,48 @@ def _voxel_profile(roi: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
     return rows.groupBy("voxel_id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("p")).select("voxel_id", F.transform("p", lambda x: x["v"]).alias("profile"))
 
 
+def _projected(data: DataFrame, n_components: int) -> DataFrame:
+    """``study_components`` but for a shift, from the covariance of the columns ``voxel_id``, where these are few."""
+    sums = {r.voxel_id: r.n for r in data.groupBy("voxel_id").agg(F.count(F.lit(1)).alias("n")).limit(MAX_ROWS + 1).collect()}
+    if len(sums) > MAX_ROWS:
+        raise ValueError(f"over {MAX_ROWS} voxels and studies")
+    place = {v: i for i, v in enumerate(sorted(sums))}
+    n = data.select("study_id").distinct().count()
+    a, b = data.select("study_id", F.col("voxel_id").alias("a")), data.select("study_id", F.col("voxel_id").alias("b"))
+    total = np.array([sums[v] for v in place], float)
+    spread = -np.outer(total, total) / n
+    for r in a.join(b, "study_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        spread[place[r.a], place[r.b]] += r.n
+    axes = np.linalg.eigh(spread)[1][:, ::-1][:, :n_components]
+    loads = data.sparkSession.createDataFrame([(v, [float(x) for x in axes[i]]) for v, i in place.items()], "voxel_id string, l array<double>")
+    sums_of = data.join(loads, "voxel_id").select("study_id", F.posexplode("l").alias("k", "v")).groupBy("study_id", "k").agg(F.sum("v").alias("v"))
+    return sums_of.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("p")).select("study_id", F.transform("p", lambda x: x["v"]).alias("c"))
+
+
+def _study_profile(roi: DataFrame, reduce_reference: str | None, n_components: int, seed: int) -> DataFrame:
+    """(voxel_id, profile): principal or independent components of voxels by studies; with None all of the former,
+    between which the distances are those between the voxels' own rows."""
+    turned = roi.select(F.col("voxel_id").cast("string").alias("study_id"), F.col("study_id").alias("voxel_id"))
+    limit = MAX_ROWS if reduce_reference is None else n_components
+    if turned.select("study_id").distinct().limit(MAX_ROWS + 1).count() <= MAX_ROWS:
+        scores = study_components(turned, limit)
+    else:
+        scores = _projected(turned, limit)
+    if reduce_reference == "ica":
+        rows = scores.collect()
+        mixed = independent(np.array([r.c for r in rows]), seed=seed)
+        scores = scores.sparkSession.createDataFrame([(r.study_id, [float(x) for x in t]) for r, t in zip(rows, mixed)], "study_id string, c array<double>")
+    return scores.select(F.col("study_id").cast(roi.schema["voxel_id"].dataType).alias("voxel_id"), F.col("c").alias("profile"))
+
+
 def magic(dataset: Dataset, method: str = "coactivation", roi_mask: DataFrame | None = None, coactivation_mask: DataFrame | None = None, features=None, feature_threshold: float = 0.05, min_voxels_per_study: int | None = None, min_studies_per_voxel: int | None = None, reduce_reference: str | None = "pca", n_components: int = 100, distance_metric: str = "correlation", algorithm: str = "kmeans", n_clusters: int = 5, seed: int = 0) -> DataFrame:
     """(voxel_id, cluster): clusters from 1 of the voxels of ``roi_mask``.
 
     coactivation: by the distances of a voxel's studies to the components (``pca``, ``ica`` or None: the studies' own
     reduced scores without rotation) of the studies over ``coactivation_mask``.  features: by the mean feature weights
-    of a voxel's studies.  studies: by the studies.  k-means only; ``minik`` means the same, as Spark has no batches.
+    of a voxel's studies.  studies: by the components of the voxels over their studies, or by the studies as they are
+    (``reduce_reference`` None); voxels or studies must be at most ``MAX_ROWS``.  coactivation takes at most ``MAX_ROWS`` studies, and
+    None reduces there too.  k-means only; ``minik`` means the same, as Spark has no batches.
     """
     if algorithm not in ("kmeans", "minik"):
         raise ValueError("algorithm: kmeans or minik")
@@ -143,8 +183,7 @@ def magic(dataset: Dataset, method: str = "coactivation", roi_mask: DataFrame |
         pairs = mean.groupBy("voxel_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
         points = roi.select("voxel_id").distinct().join(pairs, "voxel_id", "left").select("voxel_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("profile"))
     elif method == "studies":
-        scores = study_components(roi, n_components)
-        points = _voxel_profile(roi, scores, "euclidean")
+        points = _study_profile(roi, reduce_reference, n_components, seed)
     else:
         raise ValueError("method: coactivation, features or studies")
     vectors = points.select("voxel_id", array_to_vector("profile").alias("features"))

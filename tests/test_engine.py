@@ -265,6 +265,28 @@ def test_clusters(data):
     assert np.allclose(np.cov(cluster.independent(x), rowvar=False), np.eye(3), atol=0.05)
 
 
+@pytest.mark.parametrize("limit", [10_000, 6])
+def test_clusters_by_studies_keep_the_rows(data, monkeypatch, limit):
+    monkeypatch.setattr(cluster, "MAX_ROWS", limit)
+    mask = regions.sphere(data, (24, -3, 57), 8).union(regions.sphere(data, (-48, 9, 60), 8)).select("voxel_id")
+    taken, real = [], cluster.KMeans
+
+    class Seen(real):
+        def fit(self, df):
+            taken.append({r.voxel_id: r.features.toArray() for r in df.collect()})
+            return super().fit(df)
+
+    monkeypatch.setattr(cluster, "KMeans", Seen)
+    cluster.magic(data, "studies", roi_mask=mask, reduce_reference=None, n_clusters=2)
+    studies = {}
+    for r in cluster.Clusterable(data, mask, None).data.collect():
+        studies.setdefault(r.voxel_id, set()).add(r.study_id)
+    got = taken[0]
+    assert set(got) == set(studies)
+    for a, b in itertools.combinations(sorted(got)[::7], 2):
+        assert abs(((got[a] - got[b]) ** 2).sum() - len(studies[a] ^ studies[b])) < 1e-6
+
+
 def test_topics_learn_from_all_documents(spark, monkeypatch):
     made, real, asked = [], topics.LDA, []
     monkeypatch.setattr(topics, "LDA", lambda **k: made.append(real(**k)) or made[-1])
