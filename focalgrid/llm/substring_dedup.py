@@ -1,4 +1,4 @@
-"""Removal of repeated passages with sharded Aho-Corasick automata.
+"""Removal of repeated passages by digests, and by Aho-Corasick automata over the documents that hold one.
 
 A *window* is ``n_words`` consecutive words of one document.  A word goes if some window that covers it has a word
 sequence that also starts in a document with a smaller id.
@@ -9,8 +9,9 @@ sequence that also starts in a document with a smaller id.
    repeat is lost; a chance agreement only costs work.
 2. *Confirm.*  A shard sends the 96-bit digests of the windows that are left, each with its smallest document; a
    bucket answers with those that another shard has in a smaller one.
-3. *Locate.*  A shard compiles the confirmed word sequences into Aho-Corasick automata of at most ``MAX_WORDS``
-   words and streams its documents through them; every occurrence is found by its words.
+3. *Locate.*  The digests tell which windows of a shard's documents are confirmed.  The documents that hold one go, in
+   batches, through Aho-Corasick automata of at most ``MAX_WORDS`` words of the batch's own confirmed passages, so a
+   window goes only if its words are found; other documents are not streamed.
 
 What a shard sends is aggregated first, so a passage that a third of all documents share is one entry a shard.
 """
