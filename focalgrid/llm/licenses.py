@@ -55,6 +55,7 @@ def template_bigrams(templates) -> list[tuple[str, list[str]]]:
 def find_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a unit that matches: doc_id, line (from 0; -1: the whole document), license, dice.
 
+    A notice wrapped over several lines of a longer document, or within a longer line, is no unit and is not found.
     The best template is named, of equal ones the first by name.  A document of one line gives two units.  A null or
     empty text, or a unit of fewer than two words, matches nothing.  Rows that repeat are scanned each, a null id is
     carried, an empty table gives an empty result; other columns are not used.
