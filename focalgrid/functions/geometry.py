@@ -6,7 +6,6 @@ A voxel has grid indices (xi, yj, zk) and the id (xi * ny + yj) * nz + zk.  Poin
 from __future__ import annotations
 
 import itertools
-import json
 import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -102,18 +101,36 @@ def kernel(radius: float, grid: Grid) -> list[tuple[float, float, float]]:
 
 
 def kernel_column(radius: float, grid: Grid) -> Column:
-    """The kernel as one constant array of structs, so that stamping needs no join."""
-    values = json.dumps([{"dx": a, "dy": b, "dz": c} for a, b, c in kernel(radius, grid)])
-    return F.from_json(F.lit(values), "array<struct<dx:double,dy:double,dz:double>>")
+    """The kernel as one constant array of structs, so that stamping needs no join.  Catalyst folds it into a literal.
+
+    Offsets are ints if all are whole, else doubles.
+    """
+    offsets = kernel(radius, grid)
+    whole = all(c == int(c) for o in offsets for c in o)
+    text = (lambda c: str(int(c))) if whole else (lambda c: f"{c!r}D")
+    return F.expr("array(" + ",".join(f"named_struct('dx',{text(a)},'dy',{text(b)},'dz',{text(c)})" for a, b, c in offsets) + ")")
 
 
 def stamp(foci: DataFrame, radius: float, grid: Grid) -> DataFrame:
-    """Distinct (study_id, voxel_id) of the grid's voxels within ``radius`` mm of a study's foci."""
-    offsets = foci.select("study_id", "xi", "yj", "zk", F.explode(kernel_column(radius, grid)).alias("o"))
-    at = [F.rint(F.col(c) + F.col(f"o.{d}")).cast("int") for c, d in (("xi", "dx"), ("yj", "dy"), ("zk", "dz"))]
-    moved = offsets.select("study_id", *(a.alias(n) for a, n in zip(at, ("xi", "yj", "zk"))))
-    xi, yj, zk = F.col("xi"), F.col("yj"), F.col("zk")
-    return moved.where(grid.inside(xi, yj, zk)).select("study_id", grid.voxel_id(xi, yj, zk).alias("voxel_id")).distinct()
+    """Distinct (study_id, voxel_id) of the grid's voxels within ``radius`` mm of a study's foci.
+
+    Foci are dealt by study before the kernel multiplies them, so that the voxels need no shuffle of their own.  They
+    are made distinct first: a study then has at most as many as the grid (with its rim) has voxels, however often its
+    foci repeat.
+    """
+    places = foci.select("study_id", "xi", "yj", "zk").distinct().repartition("study_id")
+    # a null index is outside; columns that can't be null keep the stage's code short enough to be compiled
+    outside = -4 * max(grid.dims) - 4 * math.ceil(radius / grid.size)
+    places = places.select("study_id", *(F.coalesce(c, F.lit(outside)).alias(c) for c in ("xi", "yj", "zk")))
+    offsets = places.select("study_id", "xi", "yj", "zk", F.explode(kernel_column(radius, grid)).alias("o"))
+    whole = all(c == int(c) for o in kernel(radius, grid) for c in o)
+
+    def moved(i: str, d: str) -> Column:
+        at = F.col(i) + F.col(f"o.{d}")
+        return at if whole else F.rint(at).cast("int")
+
+    xi, yj, zk = moved("xi", "dx"), moved("yj", "dy"), moved("zk", "dz")
+    return offsets.where(grid.inside(xi, yj, zk)).select("study_id", grid.voxel_id(xi, yj, zk).alias("voxel_id")).distinct()
 
 
 def grid_cell(i: Column, n: int, scale: int) -> Column:

@@ -63,14 +63,19 @@ def two_way(a: Column, b: Column, c: Column, d: Column) -> Column:
 def fdr(p_values: DataFrame, q: float, p: str = "p", weight: str | None = None) -> DataFrame:
     """One row, ``threshold``: the largest p with p <= its rank * q / count, or -1.  ``weight``: how often each row counts.
 
-    Equal p are summed first, so the window runs over distinct values.  Nulls don't count.
+    Equal p are summed first.  Their ranks are sums over buckets of neighbouring p, at most 64 for each power of two from
+    1 to 1e-300, plus the rank within the bucket, so no task holds more than a bucket of distinct values.  Nulls don't count.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
     groups = p_values.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(n.alias("n"))
-    rank = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy())
-    ranked = groups.select("p", rank.alias("rank"), total.alias("total"))
-    return ranked.agg(F.coalesce(F.max(F.when(F.col("p") <= F.col("rank") * q / F.col("total"), F.col("p"))), F.lit(-1.0)).alias("threshold"))
+    groups = groups.withColumn("bucket", F.floor(F.log2(F.greatest(F.col("p"), F.lit(1e-300))) * 64))
+    sums = groups.groupBy("bucket").agg(F.sum("n").alias("n"))
+    over = Window.orderBy("bucket")
+    sums = sums.select("bucket", (F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = groups.select("bucket", "p", inside.alias("inside")).join(F.broadcast(sums), "bucket")
+    fits = F.col("p") <= (F.col("before") + F.col("inside")) * q / F.col("total")
+    return ranked.agg(F.coalesce(F.max(F.when(fits, F.col("p"))), F.lit(-1.0)).alias("threshold"))
 
 
 def correlation(sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column, n: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..utils import small
 from .dataset import Dataset
 from .meta import evaluate
 
@@ -198,13 +199,13 @@ def coactivation_by_cluster(dataset: Dataset, clusters: DataFrame, threshold: fl
     """
     c = clusters.where("cluster <> 0").select("cluster", "voxel_id").join(dataset.masker.volume.select("voxel_id"), "voxel_id", "left_semi")
     sizes = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    n = dataset.study_voxel.join(c, "voxel_id").groupBy("cluster", "study_id").agg(F.count(F.lit(1)).alias("n"))
-    chosen = n.join(F.broadcast(sizes), "cluster").where(F.try_divide("n", "size") > threshold).select("cluster", "study_id")
+    n = dataset.study_voxel.join(small(c), "voxel_id").groupBy("cluster", "study_id").agg(F.count(F.lit(1)).alias("n"))
+    chosen = n.join(sizes, "cluster").where(F.try_divide("n", "size") > threshold).select("cluster", "study_id")
     active = dataset.study_voxel.join(chosen, "study_id").groupBy("cluster", "voxel_id").agg(F.count(F.lit(1)).alias("n_sa"))
     total = dataset.study_voxel.groupBy("voxel_id").agg(F.count(F.lit(1)).alias("n_a"))
     studies = dataset.studies.agg(F.count(F.lit(1)).alias("n"))
     of = sizes.select("cluster").join(chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_s")), "cluster", "left").fillna(0, ["n_s"]).join(F.broadcast(studies))
-    every = dataset.masker.volume.select("voxel_id").join(total, "voxel_id", "left").fillna(0, ["n_a"]).join(F.broadcast(of))
+    every = dataset.masker.volume.select("voxel_id").join(total, "voxel_id", "left").fillna(0, ["n_a"]).join(small(of))
     table = every.join(active, ["cluster", "voxel_id"], "left").fillna(0, ["n_sa"])
     table = table.select("cluster", "voxel_id", "n_sa", (F.col("n_a") - F.col("n_sa")).alias("n_ua"), "n_a", "n_s", (F.col("n") - F.col("n_s")).alias("n_u"))
     return evaluate(table, q, 0.5, 1, ["cluster"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Grid, Transforms, stamp
 from ..sources import activations, store
+from ..utils import small
 from .features import FeatureTable
 from .masker import Masker
 
@@ -70,7 +71,7 @@ class Dataset:
             return d
         studies = self.studies if ids is None else self.studies.join(ids.select("study_id").distinct(), "study_id", "left_semi")
         places = self.masker.volume.select("voxel_id") if voxels is None else self.masker.volume.select("voxel_id").join(voxels.select("voxel_id").distinct(), "voxel_id", "left_semi")
-        every = studies.join(F.broadcast(places))
+        every = studies.join(small(places))
         return every.join(d.withColumn("value", F.lit(1)), ["study_id", "voxel_id"], "left").fillna(0, ["value"])
 
     def random_voxels(self, n: int, seed: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..utils import small
 from .dataset import Dataset
 from .meta import analyze_features
 from .regions import average_within_regions
@@ -68,7 +69,7 @@ class Decoder:
         sy = y.groupBy("image_id").agg(F.sum("value").alias("sy"), F.sum(F.col("value") * F.col("value")).alias("syy"))
         sxy = self._products(x, y)
         # one row a feature and image: as many as the result
-        every = sx.join(F.broadcast(sy.join(F.broadcast(n)))).join(sxy, ["feature", "image_id"], "left")
+        every = sx.join(small(sy.join(F.broadcast(n)))).join(sxy, ["feature", "image_id"], "left")
         r = stats.correlation(F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.coalesce("sxy", F.lit(0.0)), F.col("n"))
         return every.select("feature", "image_id", r.alias("value"))
 
@@ -77,7 +78,7 @@ class Decoder:
         return a.join(y.select("image_id", "voxel_id", F.col("value").alias("b")), "voxel_id").groupBy("feature", "image_id").agg(F.sum(F.col("a") * F.col("b")).alias("sxy"))
 
     def _dot(self, images: DataFrame) -> DataFrame:
-        every = self.maps.select("feature").distinct().join(F.broadcast(images.select("image_id").distinct()))
+        every = self.maps.select("feature").distinct().join(small(images.select("image_id").distinct()))
         found = self._products(self.maps, images.join(self.voxels, "voxel_id", "left_semi"))
         return every.join(found, ["feature", "image_id"], "left").select("feature", "image_id", F.coalesce("sxy", F.lit(0.0)).alias("value"))
 
@@ -94,7 +95,7 @@ class Decoder:
         sx = x.groupBy("region_id").agg(F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"))
         sy = w.groupBy("feature").agg(F.sum("weight").alias("sy"), F.sum(F.col("weight") * F.col("weight")).alias("syy"))
         sxy = x.join(w, "study_id").groupBy("region_id", "feature").agg(F.sum(F.col("value") * F.col("weight")).alias("sxy"))
-        every = sx.join(F.broadcast(sy.join(F.broadcast(n)))).join(sxy, ["region_id", "feature"], "left")
+        every = sx.join(small(sy.join(F.broadcast(n)))).join(sxy, ["region_id", "feature"], "left")
         r = stats.correlation(F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.coalesce("sxy", F.lit(0.0)), F.col("n"))
         out = stats.fisher_z(r, F.col("n")) if value == "z" else r
         return every.select("feature", F.col("region_id").alias("image_id"), out.alias("value"))

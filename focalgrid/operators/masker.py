@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Grid
 from ..functions.stats import clean
+from ..utils import small
 
 
 def cut(value: Column, above: float | None = None, below: float | None = None) -> Column:
@@ -82,7 +83,7 @@ class Masker:
         keys = [c for c in image.columns if c not in ("voxel_id", "value")]
         if not keys:
             return voxels.join(image, "voxel_id", "left").select("voxel_id", F.coalesce("value", F.lit(0.0)).alias("value"))
-        every = image.select(*keys).distinct().join(F.broadcast(voxels))
+        every = image.select(*keys).distinct().join(small(voxels))
         return every.join(image, [*keys, "voxel_id"], "left").select(*keys, "voxel_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
     def unmask(self, image: DataFrame, layers=None) -> DataFrame:

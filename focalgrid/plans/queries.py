@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import classify, cluster, decode, meta, regions, topics
+from ..operators.dataset import Dataset
 from ..operators.expression import Leaf, leaves, parse
 from ..operators.features import FeatureTable
 from ..operators.masker import Masker
@@ -636,3 +637,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysis(spark, sf_dir).images().select("voxel_id", F.col("`association-test_z`").alias("z"), "pAgF").orderBy(F.desc_nulls_last("z"), "voxel_id").limit(100)
 
 
+def on_saved(d: Dataset) -> dict[str, Callable[[], DataFrame]]:
+    """Analyses of a data set that was built and saved before, for the bench: by name, what gives the rows."""
+    return {
+        "saved_meta_min_studies": lambda: meta.MetaAnalysis(d, d.get_studies(features="re*", frequency_threshold=0.1), min_studies=20).images(),
+        "saved_grid_average": lambda: regions.apply_grid(d, scale=6),
+        "saved_coactivation_seed": lambda: regions.coactivation(d, regions.sphere(d, _ROI_POINT, _ROI_RADIUS), 0.02),
+        "saved_decode_pearson": lambda: decode.Decoder.from_dataset(d, _FEATURE_NAMES, threshold=0.05).decode(_pictures(d.foci.sparkSession)),
+    }

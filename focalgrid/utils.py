@@ -7,6 +7,17 @@ import logging
 import os
 import warnings
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of the largest table that goes to every executor: twice the default grid's voxels.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def small(table: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``table`` marked to be broadcast if it was counted and has at most ``most`` rows, else as it is."""
+    return F.broadcast(table) if table.count() <= most else table
+
 
 def deprecated(*args):
     """Decorator, with or without a message: a call warns with DeprecationWarning."""
