@@ -10,8 +10,9 @@ import numpy as np
 
 from .common import once, ship
 
-#: Bytes of text that are hashed at once; it bounds the memory of the vectors below (about 60 bytes a byte).
-CHUNK = 1 << 21
+#: Bytes of text that are hashed at once; it bounds the memory of the vectors below (about 60 bytes a byte).  Longer texts are
+#: hashed in pieces that end between words, so only a single longer word takes more.
+CHUNK = 1 << 20
 
 _M64 = (1 << 64) - 1
 
@@ -91,16 +92,44 @@ def chunks(offsets: np.ndarray, size: int = CHUNK):
 
 def words(data: np.ndarray, offsets: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start of each word, its 64-bit hash, index of its text) over some texts; ``data`` and ``offsets`` as of ``buffers``."""
-    n = len(data)
-    if not n:
+    starts, hashes = [], []
+    i, n = 0, len(data)
+    while i < n:
+        j = _between(data, i, t["white"])
+        inner = offsets[(offsets > i) & (offsets < j)] - i
+        start, h = _words(data[i:j], inner, t)
+        starts.append(start + i)
+        hashes.append(h)
+        i = j
+    if not starts:
         z = np.zeros(0, np.int64)
         return z, z.astype(np.uint64), z
+    start = np.concatenate(starts) if len(starts) > 1 else starts[0]
+    return start, np.concatenate(hashes) if len(hashes) > 1 else hashes[0], np.searchsorted(offsets, start, "right") - 1
+
+
+def _between(data: np.ndarray, i: int, white: np.ndarray) -> int:
+    """Where the piece from ``i`` ends: after a white byte at most ``CHUNK`` bytes on, or, within a longer word, after that word."""
+    n, j = len(data), i + CHUNK
+    if j >= n:
+        return n
+    for back in (256, CHUNK):
+        if (at := np.flatnonzero(white[data[j - back : j]])).size:
+            return j - back + int(at[-1]) + 1
+    while j < n:
+        if (at := np.flatnonzero(white[data[j : j + CHUNK]])).size:
+            return j + int(at[0]) + 1
+        j += CHUNK
+    return n
+
+
+def _words(data: np.ndarray, inner: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of one piece; ``inner``: where texts begin within it."""
+    n = len(data)
     white = t["white"][data]
     first = np.zeros(n, bool)
     first[0] = True
     first[1:] = white[:-1]
-    inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < n)]
     first[inner] = True
     last = np.zeros(n, bool)
     last[-1] = True
@@ -115,8 +144,7 @@ def words(data: np.ndarray, offsets: np.ndarray, t: dict) -> tuple[np.ndarray, n
     np.cumsum(sums, out=sums)
     total = sums[end]
     before = np.where(start > 0, sums[start - 1], np.uint64(0))
-    hashes = mix((total - before) * t["inverses"][start] + (end - start + 1).astype(np.uint64))
-    return start, hashes, np.searchsorted(offsets, start, "right") - 1
+    return start, mix((total - before) * t["inverses"][start] + (end - start + 1).astype(np.uint64))
 
 
 def shingles(hashes: np.ndarray, of: np.ndarray, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:

@@ -7,9 +7,11 @@ of them zero, so the model that goes to the executors is small, and never larger
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,21 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int, wanted: np.ndarra
     """(feature, text) pairs of some texts, ordered by text, each pair once; only features that are true in ``wanted``, if given."""
     _, h, of = tx.words(data, offsets, tx.tables(lower=True, letters_only=True))
     c = tx.constants(4, 211)
-    parts, texts = [tx.mix(h ^ c[0])], [of]
+    keys = []
+
+    def add(hashes: np.ndarray, text: np.ndarray) -> None:
+        ids = tx.mix(hashes) >> np.uint64(64 - bits)
+        if wanted is not None:
+            keep = wanted[ids.astype(np.int64)]
+            ids, text = ids[keep], text[keep]
+        keys.append(text.astype(np.uint64) << np.uint64(bits) | ids)
+
+    add(h ^ c[0], of)
     for gap in (1, 2, 3):
         if len(h) > gap:
             same = np.flatnonzero(of[:-gap] == of[gap:])
-            parts.append(tx.mix(h[same] * c[0] + h[same + gap] * c[gap]))
-            texts.append(of[same])
-    ids, text = np.concatenate(parts) >> np.uint64(64 - bits), np.concatenate(texts).astype(np.uint64)
-    if wanted is not None:
-        keep = wanted[ids.astype(np.int64)]
-        ids, text = ids[keep], text[keep]
-    key = np.unique(text << np.uint64(bits) | ids)
+            add(h[same] * c[0] + h[same + gap] * c[gap], of[same])
+    key = np.unique(np.concatenate(keys))
     return (key & np.uint64((1 << bits) - 1)).astype(np.int64), (key >> np.uint64(bits)).astype(np.int64)
 
 
@@ -99,8 +105,6 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = d.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y").repartition(1).sortWithinPartitions(*order, "text")
 
     def fit(batches):
-        import pyarrow as pa
-
         samples, ys = [], []
         for batch in batches:
             data, offsets = tx.buffers(batch.column("text"))
@@ -127,32 +131,26 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the probability that each whole text is toxic in ``out_col``; a null text scores as an empty one.
 
-    An empty table gives an empty result.  ``out_col`` replaces a column of that name; all other columns stay.
+    Only the text goes to Python, in Arrow batches, and only the score comes back.  An empty table gives an empty result.
+    ``out_col`` replaces a column of that name; all other columns stay.
     """
-    from pyspark.sql import types as T
-
-    rest = [c for c in docs.columns if c != out_col]
-    d = docs.select(*(F.col(f"`{c}`") for c in rest))
-    schema = T.StructType([*d.schema.fields, T.StructField(out_col, T.DoubleType(), True)])
-
-    def run(batches):
-        import pyarrow as pa
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = np.zeros(1 << model.bits, np.float64)
         table[model.ids] = model.weights
         wanted = table != 0
         for batch in batches:
-            data, offsets = tx.buffers(batch.column(rest.index(text_col)))
+            data, offsets = tx.buffers(batch)
             out = np.zeros(len(batch))
             for i, j in tx.chunks(offsets):
                 at = offsets[i : j + 1]
                 ids, of = features(data[at[0] : at[-1]], at - at[0], model.bits, wanted)
                 out[i:j] = np.bincount(of, table[ids], minlength=j - i)
             with np.errstate(over="ignore"):
-                out = 1 / (1 + np.exp(-(out + model.bias)))
-            yield pa.record_batch([*batch.columns, pa.array(out)], [*rest, out_col])
+                yield pa.array(1 / (1 + np.exp(-(out + model.bias))))
 
-    return d.mapInArrow(run, schema)
+    scored = F.arrow_udf(run, "double")(F.col(f"`{text_col}`").cast("string"))
+    return docs.withColumn(out_col, scored)
 
 
 ship(__name__)
