@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import tempfile
 import types
@@ -25,6 +26,26 @@ def once(key: str, make):
     return kept[key]
 
 
+def frugal(f):
+    """A function of Arrow batches that gives its task's freed memory back to the system at the end: workers are used again."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data set in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,12 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a new temporary
-    folder becomes the setting.
+    It is the cluster's ``spark.checkpoint.dir``; where that is unset on a local master, as in tests, a new temporary
+    folder becomes the setting.  On any other master that is an error: a folder of the driver's own machine won't do.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -57,6 +80,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of the largest table that goes to every executor.
+MAX_BROADCAST = 1_000_000
+
+
+def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """``df`` marked to be broadcast if it was counted and has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have in any case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = f"{name}_"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, through Spark's file systems."""
     jvm = spark.sparkContext._jvm

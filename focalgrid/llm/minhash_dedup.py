@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import materialize, ship
+from .common import frugal, materialize, ship
 from .graph import components
 
 #: Samples in an odd sketch, and its bits.
@@ -101,6 +101,7 @@ def sketches(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
 
 
 def _signatures(k: int, bands: int, rows: int):
+    @frugal
     def run(batches):
         import pyarrow as pa
 
@@ -117,6 +118,7 @@ def _signatures(k: int, bands: int, rows: int):
 
 
 def _sketches(k: int):
+    @frugal
     def run(batches):
         import pyarrow as pa
 
@@ -137,6 +139,7 @@ def shingle_set(text: str | None, k: int) -> set:
 
 
 def _confirm(k: int, percent: int):
+    @frugal
     def run(batches):
         import pyarrow as pa
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, once, ship
+from .common import frugal, materialize, once, ship
 
 #: Words whose ids a worker process keeps.
 KEPT_WORDS = 500_000
@@ -83,6 +83,7 @@ class WordTokenizer:
 
 
 def _pieces(spec: str, capacity: int, end_id: int, with_ids: bool):
+    @frugal
     def run(batches):
         import pyarrow as pa
 

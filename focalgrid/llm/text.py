@@ -12,7 +12,7 @@ from .common import once, ship
 
 #: Bytes of text that are hashed at once; it bounds the memory of the vectors below (about 60 bytes a byte).  Longer texts are
 #: hashed in pieces that end between words, so only a single longer word takes more.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _M64 = (1 << 64) - 1
 
@@ -39,8 +39,6 @@ def tables(lower: bool = False, letters_only: bool = False) -> dict:
 
 
 def _tables(lower: bool, letters_only: bool) -> dict:
-    base = int(constants(1, 77)[0])
-    inverse = pow(base, -1, 1 << 64)
     byte = constants(256, 5)
     if lower:
         byte[65:91] = byte[97:123]
@@ -48,7 +46,16 @@ def _tables(lower: bool, letters_only: bool) -> dict:
     white[[9, 10, 11, 12, 13, 32]] = True
     if letters_only:
         white[:128] = [not chr(i).isalnum() for i in range(128)]
-    return {"base": base, "inverse": inverse, "byte": byte, "white": white, "powers": powers(base, 1024), "inverses": powers(inverse, 1024)}
+    return {"byte": byte, "white": white}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n or more powers of the base of all hashes, and of its inverse; kept for pieces of the usual size."""
+    base = int(constants(1, 77)[0])
+    inverse = pow(base, -1, 1 << 64)
+    if n > CHUNK:
+        return powers(base, n), powers(inverse, n)
+    return once("powers", lambda: (powers(base, CHUNK), powers(inverse, CHUNK)))
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -137,14 +144,13 @@ def _words(data: np.ndarray, inner: np.ndarray, t: dict) -> tuple[np.ndarray, np
     last[inner - 1] = True
     start = np.flatnonzero(first & ~white)
     end = np.flatnonzero(last & ~white)
-    if len(t["powers"]) < n:
-        t["powers"], t["inverses"] = powers(t["base"], 2 * n), powers(t["inverse"], 2 * n)
+    up, down = _powers(n)
     sums = t["byte"][data]
-    sums *= t["powers"][:n]
+    sums *= up[:n]
     np.cumsum(sums, out=sums)
     total = sums[end]
     before = np.where(start > 0, sums[start - 1], np.uint64(0))
-    return start, mix((total - before) * t["inverses"][start] + (end - start + 1).astype(np.uint64))
+    return start, mix((total - before) * down[start] + (end - start + 1).astype(np.uint64))
 
 
 def shingles(hashes: np.ndarray, of: np.ndarray, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import ship
+from .common import frugal, ship
 
 
 @dataclass(frozen=True)
@@ -104,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     taken = known.join(d.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(*order).limit(max_rows)
     sample = d.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y").repartition(1).sortWithinPartitions(*order, "text")
 
+    @frugal
     def fit(batches):
         samples, ys = [], []
         for batch in batches:
@@ -112,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             for i, j in tx.chunks(offsets):
                 at = offsets[i : j + 1]
                 ids, of = features(data[at[0] : at[-1]], at - at[0], bits)
-                samples += [x.astype(np.uint32) for x in np.split(ids, np.searchsorted(of, np.arange(1, j - i)))]
+                samples += np.split(ids.astype(np.uint32), np.searchsorted(of, np.arange(1, j - i)))
         y = np.concatenate(ys) if ys else np.zeros(0)
         m = len(y) - len(y) // 8
         penalty = min(10.0, max(1.0, len(y) / 1600)) if l1 is None else l1
@@ -135,6 +136,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
     ``out_col`` replaces a column of that name; all other columns stay.
     """
 
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = np.zeros(1 << model.bits, np.float64)
         table[model.ids] = model.weights
