@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import fresh, materialize, ship
 
 #: Numbers of lines, of 8 bytes, that may be sent to all executors.
 MAX_BROADCAST = 1_000_000
@@ -115,13 +115,14 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that ``removed_lines`` names: same columns and rows, a new text.
 
-    A document that loses no line keeps its text as it is, a null text stays null.
+    A document that loses no line keeps its text as it is, a null text stays null.  Columns may have any names.
     """
-    gone = removed_lines(docs, threshold, id_col, text_col).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_removed", i))
-    text = F.when(F.size("_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_doc"), "left")
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    key, gone = fresh(docs, "doc"), fresh(docs, "removed")
+    found = removed_lines(docs, threshold, id_col, text_col).where("size(removed) > 0").select(F.col("doc_id").alias(key), F.col("removed").alias(gone))
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(gone, i))
+    text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col(key), "left")
+    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 ship(__name__)
