@@ -43,8 +43,8 @@ ALLOW = r"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|0123456789|abcde
 ASSIGN = r"""((?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 BASE = (
     ("assign", ASSIGN, r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}"),
-    ("access", r"(AKIA[A-Z0-9]+)()", r"^.{20}"),
-    ("hex", r"([0-9a-f]+)()", r"^.{24}"),
+    ("access", r"(AKIA[A-Z0-9]{16,})()", r"^.{20}"),
+    ("hex", r"([0-9a-f]{24,})()", r"^.{24}"),
 )
 
 
@@ -68,28 +68,39 @@ def _matches(parts: Column, kind: str, good) -> Column:
 
 
 def entropy_spans(candidate: Column, of: CharacterClass) -> Column:
-    """array<struct<start, end>> of the merged windows of a candidate whose entropy is at or over the limit."""
+    """array<struct<start, end>> of the merged windows of a candidate whose entropy is at or over the limit.
+
+    A step takes the code of the character that enters the window and of the one that leaves it, and changes their two
+    counts, which are packed into a few longs: it costs the same wherever in the candidate it is.
+    """
     w = of.window
-    letters = len(of.letters)
     kinds = "array<struct<start:int,end:int>>"
+    width = w.bit_length()  # bits of a count
+    per = 63 // width
+    longs = -(-len(of.letters) // per)
+    one, mask = F.lit(1).cast("long"), (1 << width) - 1
 
     def weight(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
-    def letter(i: Column) -> Column:
-        return F.instr(F.lit(of.letters), F.substring(candidate, i, F.lit(1)))
+    def count(counts: Column, code: Column) -> Column:
+        packed = F.get(counts, F.floor(code / per).cast("int"))
+        return F.call_function("shiftright", packed, (code % per * width).cast("int")).bitwiseAND(mask).cast("int")
+
+    def unit(code: Column, k: Column) -> Column:
+        return F.when(F.floor(code / per) == k, F.call_function("shiftleft", one, (code % per * width).cast("int"))).otherwise(F.lit(0).cast("long"))
 
-    def step(state: Column, i: Column) -> Column:
-        new = letter(i)
-        old = F.when(i > w, letter(i - w)).otherwise(F.lit(0))
+    def step(state: Column, x: Column) -> Column:
+        i, new, old = state["i"] + 1, x["new"], x["old"]
         counts = state["counts"]
-        up, down = F.element_at(counts, new), F.when(old > 0, F.element_at(counts, F.greatest(old, F.lit(1)))).otherwise(0)
+        up = count(counts, new)
+        down = F.when(old >= 0, count(counts, old)).otherwise(0)
         changed = F.when(
             old == new,
             F.struct(counts.alias("counts"), state["sum"].alias("sum")),
         ).otherwise(
             F.struct(
-                F.transform(counts, lambda c, k: c + F.when(k + 1 == new, 1).when(k + 1 == old, -1).otherwise(0)).alias("counts"),
+                F.transform(counts, lambda c, k: c + unit(new, k) - F.when(old >= 0, unit(old, k)).otherwise(F.lit(0).cast("long"))).alias("counts"),
                 (state["sum"] + weight(up + 1) - weight(up) + weight(down - 1) - weight(down)).alias("sum"),
             )
         )
@@ -99,10 +110,12 @@ def entropy_spans(candidate: Column, of: CharacterClass) -> Column:
         last = F.try_element_at(spans, F.lit(-1))
         span = F.struct((i - w).alias("start"), i.alias("end"))
         joined = F.when(last["end"] >= i - w, F.array_append(F.slice(spans, 1, F.size(spans) - 1), F.struct(last["start"].alias("start"), i.alias("end")))).otherwise(F.array_append(spans, span))
-        return F.struct(changed["counts"].alias("counts"), changed["sum"].alias("sum"), F.when(high, joined).otherwise(spans).alias("spans"))
+        return F.struct(i.alias("i"), changed["counts"].alias("counts"), changed["sum"].alias("sum"), F.when(high, joined).otherwise(spans).alias("spans"))
 
-    zero = F.struct(F.array_repeat(F.lit(0), letters).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(kinds).alias("spans"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), zero, step)["spans"]
+    zero = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0).cast("long"), longs).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(kinds).alias("spans"))
+    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(of.letters), c) - 1)
+    left = F.slice(F.concat(F.array_repeat(F.lit(-1), w), codes), 1, F.char_length(candidate))
+    return F.aggregate(F.arrays_zip(codes.alias("new"), left.alias("old")), zero, step)["spans"]
 
 
 def _entropy(text: Column, of: CharacterClass) -> Column:
