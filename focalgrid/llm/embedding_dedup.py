@@ -192,20 +192,25 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, max_sample: int =
     Vectors with one label are linked if their cosine is at least ``similarity``.  The index is fitted on the
     ``max_sample`` distinct usable vectors whose hashed ids come first, and holds all vectors.
 
-    Vectors that are null, zero, hold null or non-finite components, have another number of components than most, or
-    have a null label or id link with nothing.  Rows that repeat an id and a vector each count as a link of the others;
-    an empty table gives an empty result; other columns are not used.
+    Vectors that are null, zero, hold null or non-finite components, or have a null label or id link with nothing.
+    Vectors of different lengths have no cosine: each length is a search of its own.  Rows that repeat an id and a vector
+    each count as a link of the others; an empty table gives an empty result; other columns are not used.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     big = F.array_max(F.transform("v", F.abs))
-    usable = v.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull())
-    usable = usable.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.coalesce(big, F.lit(0.0)) > 0))
-    size = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).first()
-    alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
-    if size is None:
-        return v.select("vec_id", *alone)
+    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.coalesce(big, F.lit(0.0)) > 0)
+    good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & good, F.lit(False))
+    sizes = sorted(r.d for r in v.where(good).select(F.size("v").alias("d")).distinct().collect())
     # scaled, so that squares neither overflow nor vanish
-    usable = usable.where(F.size("v") == size["d"]).select("vec_id", "label", F.transform("v", lambda x: x / big).alias("v"))
+    usable = v.where(good).select("vec_id", "label", F.transform("v", lambda x: F.try_divide(x, big)).alias("v"))
+    done = v.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for d in sizes:
+        done = done.union(_of_one_size(usable.where(F.size("v") == d), similarity, max_sample, block))
+    return done
+
+
+def _of_one_size(usable: DataFrame, similarity: float, max_sample: int, block: int) -> DataFrame:
+    """``near_vectors`` for usable vectors (vec_id, label, v) of one length."""
     distinct = materialize(usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "distinct")
     taken = distinct.orderBy(F.xxhash64("rep"), "rep").limit(max_sample).collect()
     names = {x: i for i, x in enumerate(sorted({r.label for r in taken}))}
@@ -227,10 +232,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, max_sample: int =
 
     linked = usable.join(distinct.select("label", "v", "rep", "weight"), ["label", "v"]).join(counts, "rep", "left").join(reached, "rep", "left")
     done = linked.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    done = done.withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    good = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (big > 0) & (F.size("v") == size["d"]), F.lit(False))
-    rest = v.where(F.col("vec_id").isNull() | F.col("label").isNull() | F.col("v").isNull() | ~good)
-    return done.union(rest.select("vec_id", *alone))
+    return done.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 ship(__name__)
