@@ -12,31 +12,39 @@ responses that the archives hold.
 from __future__ import annotations
 
 import zlib
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import materialize, ship, small
 
 _END = "\r\n"
 
 
+#: Pages of up to so many bytes lie with so many others in one archive, which a reader holds as a whole.
+SIZES = ((1 << 16, 2000), (1 << 22, 32), (None, 1))
+
+
 def _urn(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("unknown")), F.lit(">"))
+    """The record id of a page; a page without an id gets a new one."""
+    return F.coalesce(F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))
 
 
 def deduplicated(pages: DataFrame, min_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, html, digest, size and refers_to, the page that holds an equal payload of at least ``min_bytes``, else null."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("size", F.octet_length("html").cast("long"))
-    first = p.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    # ``first`` has one row for each payload that is repeated; where few are, Spark sends it to the pages instead of moving these
-    p = p.join(first.select("digest", "first"), "digest", "left")
-    refers = F.when((F.col("size") >= min_bytes) & (F.col("page_id") > F.col("first")), F.col("first"))
-    return p.select("page_id", "url", "html", "digest", "size", refers.alias("refers_to"))
+    # of the binary form: the bytes are those of the string
+    p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html").cast("long"))
+    head = p.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    first = head.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
+    # only headers meet by digest, so a payload of very many pages moves no payloads to one task; what pages refer to comes
+    # back by page, to all executors if it is counted and small
+    refers = head.join(first.select("digest", "first"), "digest").where("page_id > first").distinct().withColumnRenamed("first", "refers_to")
+    return p.join(small(refers), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "size", "refers_to")
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(pages: DataFrame, date: str) -> DataFrame:
     """One string column ``value``: the WARC record of each row of ``deduplicated``, without the line ends after it."""
     revisit = F.col("refers_to").isNotNull()
     # a URI holds no white space or control characters
@@ -50,7 +58,7 @@ def records(pages: DataFrame) -> DataFrame:
         _urn(F.col("page_id")),
         F.lit(f"{_END}WARC-Target-URI: "),
         url,
-        F.lit(f"{_END}WARC-Date: 1970-01-01T00:00:00Z{_END}WARC-Payload-Digest: sha256:"),
+        F.lit(f"{_END}WARC-Date: {date}{_END}WARC-Payload-Digest: sha256:"),
         F.col("digest"),
         F.when(revisit, F.concat(F.lit(f"{_END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_END}WARC-Refers-To: "), _urn(F.col("refers_to")))).otherwise(""),
         F.lit(f"{_END}Content-Type: application/http;msgtype=response{_END}Content-Length: "),
@@ -60,15 +68,25 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(head, http, F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 100, records_per_file: int = 2000, **columns: str) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 100, records_per_file: int = 2000, date: str | None = None, **columns: str) -> None:
     """Write a record of every row of ``pages`` into gzip archives at ``path``, revisit records for repeated payloads.
 
-    A null page is an empty one, a null or empty url is ``urn:unknown``.  Pages under ``min_bytes`` and pages with a
-    null id are always responses, and no page refers to a null id.  Rows that repeat the smallest id of a payload are
-    all responses.  An empty table writes archives without records.
+    ``date`` is the records' date, by default now.  Archives are bounded by bytes: pages are written by size, as ``SIZES``
+    has it, with at most ``records_per_file`` in one.  A null page is an empty one, a null or empty url is ``urn:unknown``.  Pages under ``min_bytes`` and pages
+    with a null id are always responses, and no page refers to a null id.  Rows that repeat the smallest id of a payload
+    are all responses.  An empty table writes archives without records.
     """
-    out = records(deduplicated(pages, min_bytes, **columns))
-    out.write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    done = deduplicated(pages, min_bytes, **columns)
+    largest = pages.agg(F.max(F.octet_length(F.col(columns.get("html_col", "html")).cast("string")))).first()[0] or 0
+    low = -1
+    for high, number in SIZES:
+        some = done.where(F.col("size") > low) if high is None else done.where((F.col("size") > low) & (F.col("size") <= high))
+        out = records(some, date)
+        out.write.mode("append").option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", min(number, records_per_file)).text(path)
+        if high is None or largest <= high:
+            break
+        low = high
 
 
 def _parse(batches):
@@ -110,8 +128,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     rows = found.mapInArrow(_parse, "page_id long, url string, record_type string, payload_digest string, refers_to long, payload_bytes long, sound boolean")
-    from .common import materialize
-
     rows = materialize(rows, "records")
     originals = rows.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("size"))
     again = rows.where("record_type = 'revisit'").join(originals, "payload_digest", "left")
