@@ -5,8 +5,9 @@ stretch of it is within e = ``edit_share`` * m edits of the whole item.  Such a
 m - q + 1 - q * e of the item's q-grams, on diagonals that lie within e of each other.  So the shared q-grams are
 counted in overlapping bands of 2 * e + 1 diagonals; bands that reach the bound go to a banded alignment.
 
-The items' q-gram index is built on the driver and sent to the executors.  Its size is checked: items beyond
-``block_bytes`` are searched in several passes of one block each.
+The items' q-gram index is built on the driver and sent to the executors.  Its size is checked: it takes about 40 bytes a
+byte of the items, and items beyond ``block_bytes`` are searched in several passes of one block each, whose results are
+written before the next block is read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .common import ship
+from .common import frugal, materialize, ship
 
 
 def normalise(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +61,19 @@ class Index:
         self.q = q
         self.ids: list[int] = []
         self.texts: list[bytes] = []
+        short: list[tuple[int, bytes]] = []
         for item_id, text in items:
             norm = normalise(np.frombuffer((text or "").encode(), np.uint8))[0].tobytes().strip()
             if len(norm) >= q:
                 self.ids.append(item_id)
                 self.texts.append(norm)
+            elif norm:
+                short.append((item_id, norm))
         m = np.array([len(t) for t in self.texts], np.int64)
+        #: items without a q-gram, by text: they leak as whole documents only
+        self.short: dict[bytes, list[int]] = {}
+        for item_id, norm in short:
+            self.short.setdefault(norm, []).append(item_id)
         self.edits = np.minimum((m * edit_share).astype(np.int64), np.maximum(0, (m - q) // q))
         self.need = np.maximum(1, m - q + 1 - q * self.edits)
         self.reach = int((m + 2 * self.edits).max()) if len(m) else 0
@@ -176,12 +184,13 @@ def align(want: bytes, part: bytes, limit: int) -> tuple[int, int, int] | None:
     return end - int(at[row.argmin()]), end, edits
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
+    """How many blocks of items there are, and a generator of them: the driver holds one block's items at a time."""
     b = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     size = b.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()[0] or 0
     n = int(size // block_bytes + 1)
     part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [sorted((r.item_id, r.text) for r in b.where(part == i).collect()) for i in range(n)]
+    return n, (sorted((r.item_id, r.text) for r in b.where(part == i).collect()) for i in range(n))
 
 
 def _search(index: Index, column):
@@ -192,6 +201,13 @@ def _search(index: Index, column):
         raw = data[at[0] : at[-1]]
         norm, place = normalise(raw)
         ends = np.searchsorted(place, at - at[0])
+        for k in np.flatnonzero(np.diff(ends) <= index.q + 1).tolist() if index.short else ():
+            whole = norm[ends[k] : ends[k + 1]].tobytes()
+            for item_id in index.short.get(whole.strip(), ()):
+                skip = len(whole) - len(whole.lstrip())
+                begin = int(at[k] - at[0])
+                first, last = (int(place[ends[k] + x]) for x in (skip, skip + len(whole.strip()) - 1))
+                yield i + k, item_id, *(int(np.count_nonzero((raw[begin:x] & 0xC0) != 0x80)) for x in (first, last + 1)), 0
         for k, item, start, end, edits in index.matches(norm, ends):
             begin = int(at[k] - at[0])
             first, last = int(place[start]), int(place[end - 1]) + 1
@@ -199,18 +215,21 @@ def _search(index: Index, column):
             yield i + k, index.ids[item], chars[0], chars[1], edits
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.05, q: int = 12, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.05, q: int = 12, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row a match: doc_id, item_id, start, end (code points of the text), edits.
 
-    Null and blank texts and items, and items under ``q`` bytes, match nothing; a null id of a document is carried, an
+    Null and blank texts and items match nothing; items under ``q`` bytes match documents that hold nothing else, as they
+    would be found in most others by chance; a null id of a document is carried, an
     item with a null id is not searched.  Items that are equal each match.  Rows that repeat are searched each.  An
     empty table on either side gives an empty result; other columns are not used.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    n, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    for items in blocks:
         index = Index(items, q, edit_share)
 
+        @frugal
         def run(batches, index=index):
             import pyarrow as pa
 
@@ -220,17 +239,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.05, q: in
                 yield pa.record_batch([ids, *(pa.array([r[x] for r in rows], pa.int64()) for x in range(1, 5))], ["doc_id", "item_id", "start", "end", "edits"])
 
         some = d.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
+        some = some if n == 1 else materialize(some, "leaks")
         out = some if out is None else out.union(some)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.05, q: int = 12, block_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.05, q: int = 12, block_bytes: int = 4 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns; cases as in ``leaks``."""
     out = docs
     where = docs.columns.index(text_col)
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    n, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    for items in blocks:
         index = Index(items, q, edit_share)
 
+        @frugal
         def run(batches, index=index):
             import pyarrow as pa
 
@@ -240,6 +262,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.05,
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(run, T.StructType(docs.schema.fields))
+        out = out if n == 1 else materialize(out, "clean")
     return out
 
 
