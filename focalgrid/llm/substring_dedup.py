@@ -101,9 +101,9 @@ def _send_prints(table, *, n: int, buckets: int):
 
     ids, known = _ids(table)
     got: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, _, _, least, first, doc in _windows(table.append_column("known", pa.array(known)), n, np.where(known, ids, np.iinfo(np.int64).max)):
-        keep = doc != np.iinfo(np.int64).max
-        least, doc = least[keep], doc[keep]
+    for _, _, _, least, _, row in _windows(table, n, np.arange(len(ids))):
+        keep = known[row]
+        least, doc = least[keep], ids[row[keep]]
         if len(least):
             new = np.ones(len(least), bool)
             new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
@@ -129,12 +129,17 @@ def _answer_prints(table):
 
     shards, blobs = table.column("shard").to_pylist(), [_narrow(x) for x in table.column("blob").to_pylist()]
     every = np.concatenate(blobs) if blobs else np.zeros(0, np.uint64)
-    prints, counts = np.unique(every >> np.uint64(1), return_counts=True)
-    many = np.zeros(len(prints), bool)
-    many[np.searchsorted(prints, every[(every & np.uint64(1)) == 1] >> np.uint64(1))] = True
-    repeated = prints[(counts > 1) | many]
+    # a print that two shards sent, or one shard of two documents
+    prints = np.sort(every >> np.uint64(1))
+    repeated = np.unique(np.concatenate([prints[1:][prints[1:] == prints[:-1]], every[(every & np.uint64(1)) == 1] >> np.uint64(1)]))
+    del every, prints
     bucket = table.column("bucket")[0].as_py() if len(table) else 0
-    rows = [(bucket, s, b"p", _wide(x)) for s, b in zip(shards, blobs) if len(x := np.intersect1d(b >> np.uint64(1), repeated))]
+    rows = []
+    for s, blob in zip(shards, blobs if len(repeated) else []):
+        own = blob >> np.uint64(1)  # each once, in order
+        own = own[repeated[np.minimum(np.searchsorted(repeated, own), len(repeated) - 1)] == own]
+        if len(own):
+            rows.append((bucket, s, b"p", _wide(own)))
     return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate((("bucket", pa.int64()), ("shard", pa.int64()), ("kind", pa.binary()), ("blob", pa.binary())))})
 
 
@@ -359,6 +364,8 @@ def remove_repeated_passages(docs: DataFrame, n_words: int = 13, id_col: str = "
     ``shard_bytes`` bounds what one task holds; by default it follows the total, between 4 and 256 MB, so that neither
     shards nor the parts they exchange grow too many.
 
+    Shards are dealt by id and text, so rows that share an id, or have none, don't share a shard.
+
     A null text has no words.  A row with a null id loses nothing and lets none be lost.  Rows that repeat an id are one
     document to the rule: they lose nothing to each other.  Texts with fewer than ``n_words`` words stay.  An empty
     table gives an empty result.  Other columns of ``docs`` are not used.
@@ -368,7 +375,7 @@ def remove_repeated_passages(docs: DataFrame, n_words: int = 13, id_col: str = "
     shards = total // shard_bytes + 1
     buckets = total // (24 << 20) + 1  # about a million prints each
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
 
     def send_prints(t):
         return _send_prints(t, n=n_words, buckets=buckets)
