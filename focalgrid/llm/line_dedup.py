@@ -9,7 +9,11 @@ a set of Jaccard similarity ``threshold`` or more with it.
 3. Prefix filter: two similar sets share one of the first n - ceil(t * n) + 1 tokens of each.  These tokens are joined
    with themselves, under the length filter and the positional filter, and under a bound on the sets' symmetric
    difference: each token flips one of 64 bits, so at least as many tokens differ as bits of the XOR are set.
-4. Candidates are verified on the full sets of their lines.
+4. Candidates that a bitmap of 256 bits, made of their lines, doesn't rule out are verified on the full sets.
+
+``removed_lines`` counts every link, so it takes every pair.  ``dedup_lines`` needs one earlier similar line, so it first
+compares each line with the best of a few earlier ones that share a prefix token, the first and the last before it; most
+lines of a large group of near copies are settled so, and only the others join with all earlier lines.
 
 All of it is DataFrame functions.  Only lines are rows, so the removal of very common lines is an aggregate with
 partial results, and a token that is in very many prefixes is a skewed join that the optimiser splits.
@@ -17,21 +21,28 @@ partial results, and a token that is in very many prefixes is a skewed join that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from dataclasses import dataclass
 
-from .common import fresh, materialize, ship
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-#: Numbers of lines, of 8 bytes, that may be sent to all executors.
-MAX_BROADCAST = 1_000_000
+from .common import fresh, materialize, ship, small
 
 #: Slots of the table of token counts.
 SLOTS = 1 << 16
 
+#: Longs in the bitmap of a candidate line.
+LONGS = 4
+
+#: How many lines just before a line, among those with one of its prefix tokens, are tried first.
+BEFORE = 2
+
 
 def _tokens(line: Column) -> Column:
     """The words of a line, in lower case."""
-    return F.array_remove(F.split(F.lower(line), "[\\x09-\\x0D\\x20]+"), "")
+    low = F.lower(line)
+    parts = F.when(low.rlike("[\\x09-\\x0D]"), F.split(low, "[\\x09-\\x0D\\x20]+")).otherwise(F.split(low, " "))
+    return F.array_remove(parts, "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,24 +52,73 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "n", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(17)).alias("h2"), "line")
 
 
-def _place() -> Column:
-    """A number that orders all lines by doc_id and n."""
-    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("n").cast("decimal(11,0)")).cast("decimal(38,0)")
+def _place(docs: DataFrame) -> Column:
+    """A number that orders all lines by doc_id and n: a long if ids and texts are small enough, else a decimal."""
+    r = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.octet_length("text")).alias("long")).first()
+    doc, n = F.col("doc_id"), F.col("n")
+    if r.low is None or r.low >= 0 and r.high < 1 << 40 and (r.long or 0) < 1 << 23:
+        return F.shiftleft(doc, 23).bitwiseOR(n.cast("long"))
+    return (doc.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + n.cast("decimal(11,0)")).cast("decimal(38,0)")
 
 
 def _slot(token: Column) -> Column:
     return F.pmod(F.xxhash64(token, F.lit(3)), F.lit(SLOTS)).cast("int")
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document that loses lines: doc_id and removed, the numbers of these lines from 0, in order; and n_links, how many other distinct lines its lines are similar to.
-
-    Null texts have no lines.  Blank lines stay and remove none, and so do the lines of documents with a null id.  Rows
-    that repeat an id hold one place with each line number: they don't remove each other's lines there.  An empty table
-    gives an empty result; other columns are not used.
-    """
+@dataclass(frozen=True)
+class Prepared:
+    """``lines``: all lines; ``distinct``: one row for each that differs, with an id, its first place, how often it is there, and size, bits and prefix of its set."""
+
+    lines: DataFrame
+    distinct: DataFrame
+    place: Column
+    threshold: float
+
+    def rows(self, *more: str) -> DataFrame:
+        """A row for each token of each prefix."""
+        return self.distinct.select("id", "place", "size", "bits", *more, F.posexplode("prefix").alias("i", "token"))
+
+    def fits(self, x: str, y: str) -> Column:
+        """Whether two rows of one token may be of similar lines: length, position, and bits that differ."""
+        a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+        t = self.threshold
+        need = F.ceil((a("size") + b("size")) * (t / (1 + t)) - 1e-9)
+        ok = F.least(a("size") - a("i"), b("size") - b("i")) >= need
+        ok = ok & (F.least(a("size"), b("size")) >= F.greatest(a("size"), b("size")) * t - 1e-9)
+        return ok & (F.bit_count(a("bits").bitwiseXOR(b("bits"))) <= a("size") + b("size") - 2 * need)
+
+    def _near(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs whose sets may still be similar by a wider bitmap: 64 bits are few for the long lines, whose texts would
+        move for nothing."""
+        words = texts.select("id", F.explode(F.array_distinct(_tokens(F.col("line")))).alias("w")).select("id", F.pmod(F.xxhash64("w", F.lit(5)), F.lit(64 * LONGS)).cast("int").alias("bit"))
+        flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
+        maps = [F.bit_xor(F.when(F.floor(F.col("bit") / 64) == k, flip).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(LONGS)]
+        maps = small(materialize(words.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *maps), "maps"))
+        apart = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(LONGS)), F.lit(0))
+        both = F.col("x.size") + F.col("y.size")
+        ok = apart <= both - 2 * F.ceil(both * (self.threshold / (1 + self.threshold)) - 1e-9)
+        near = pairs.join(maps.alias("x"), F.col("a") == F.col("x.id")).join(maps.alias("y"), F.col("b") == F.col("y.id"))
+        return near.where(ok).select("a", "b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of ids whose sets of words are similar."""
+        met = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        met = materialize(self.distinct.select("id", "h1", "h2").join(small(met), "id", "left_semi"), "met")
+        texts = self.lines.select("h1", "h2", "line").join(small(met), ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("line"))
+        texts = materialize(texts, "texts")
+        pairs = self._near(pairs, texts)
+        first = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
+        second = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+        sets = [F.array_distinct(_tokens(F.col(c))) for c in ("line_a", "line_b")]
+        both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", F.explode(F.array(F.struct(sets[0].alias("x"), sets[1].alias("y")))).alias("s"))
+        common = F.size(F.array_intersect("s.x", "s.y"))
+        both = both.select("a", "b", F.explode(F.array(F.struct(common.alias("common"), (F.size("s.x") + F.size("s.y")).alias("all")))).alias("s"))
+        return both.where(F.col("s.common") >= (F.col("s.all") - F.col("s.common")) * self.threshold - 1e-9).select("a", "b")
+
+
+def _prepare(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> Prepared:
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = _lines(d)
+    lines, place = _lines(d), _place(d)
 
     words = d.where("doc_id is not null").select(F.explode(_tokens(F.col("text"))).alias("w"))
     counts = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
@@ -75,50 +135,68 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     prefix = F.slice("numbers", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
     one = F.lit(1).cast("long")
     bits = F.aggregate("numbers", F.lit(0).cast("long"), lambda b, x: b.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))))
-    ready = lines.select(_place().alias("place"), "h1", "h2", F.explode(F.array(numbers)).alias("numbers")).select("place", "h1", "h2", size.alias("size"), bits.alias("bits"), prefix.alias("prefix"))
+    ready = lines.select(place.alias("place"), "h1", "h2", F.explode(F.array(numbers)).alias("numbers")).select("place", "h1", "h2", size.alias("size"), bits.alias("bits"), prefix.alias("prefix"))
     distinct = ready.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("size", "bits", "prefix")))
-    distinct = materialize(distinct, "lines")
-
-    rows = distinct.select("h1", "size", "bits", F.posexplode("prefix").alias("i", "token"))
-    x, y = rows.alias("x"), rows.alias("y")
-    need = F.ceil((F.col("x.size") + F.col("y.size")) * (threshold / (1 + threshold)) - 1e-9)
-    most = 1 + F.least(F.col("x.size") - F.col("x.i"), F.col("y.size") - F.col("y.i")) - 1
-    fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.h1") < F.col("y.h1")) & (most >= need)
-    fits = fits & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold - 1e-9)
-    fits = fits & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= F.col("x.size") + F.col("y.size") - 2 * need)
-    pairs = materialize(x.join(y, fits).select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct(), "pairs")
-
-    met = materialize(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "met")
-    if met.count() <= MAX_BROADCAST:
-        met = F.broadcast(met)  # else all lines move to their numbers
-    texts = lines.select("h1", "line").join(met, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
-    texts = materialize(texts, "texts")
-    first = texts.select(F.col("h1").alias("a"), F.col("line").alias("line_a"))
-    second = texts.select(F.col("h1").alias("b"), F.col("line").alias("line_b"))
-    sets = [F.array_distinct(_tokens(F.col(c))) for c in ("line_a", "line_b")]
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", F.explode(F.array(F.struct(sets[0].alias("x"), sets[1].alias("y")))).alias("s"))
-    common = F.size(F.array_intersect("s.x", "s.y"))
-    both = both.select("a", "b", F.explode(F.array(F.struct(common.alias("common"), (F.size("s.x") + F.size("s.y")).alias("all")))).alias("s"))
-    links = both.where(F.col("s.common") >= (F.col("s.all") - F.col("s.common")) * threshold - 1e-9).select("a", "b")
-    links = materialize(links, "links")
+    # the prefix's tokens by the 40 lower bits of their hashes: they only bring candidates together
+    distinct = distinct.withColumn("prefix", F.transform("prefix", lambda x: x.bitwiseAND((1 << 40) - 1)))
+    return Prepared(lines, materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "lines"), place, threshold)
+
+
+def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document that loses lines: doc_id and removed, the numbers of these lines from 0, in order; and n_links, how many other distinct lines its lines are similar to.
+
+    Null texts have no lines.  Blank lines stay and remove none, and so do the lines of documents with a null id.  Rows
+    that repeat an id hold one place with each line number: they don't remove each other's lines there.  An empty table
+    gives an empty result; other columns are not used.
+    """
+    p = _prepare(docs, threshold, id_col, text_col)
+    x, y = p.rows().alias("x"), p.rows().alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
+    pairs = materialize(x.join(y, same & p.fits("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    links = materialize(p.verified(pairs), "links")
 
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    places = distinct.select("h1", "place")
-    ends = ends.join(places.select(F.col("h1").alias("a"), F.col("place").alias("pa")), "a").join(places.select(F.col("h1").alias("b"), F.col("place").alias("pb")), "b")
-    known = ends.groupBy(F.col("a").alias("h1")).agg(F.count(F.lit(1)).alias("links"), F.bool_or(F.col("pb") < F.col("pa")).alias("later"))
-    known = distinct.select("h1", "h2", F.col("place").alias("first"), "copies").join(known, "h1", "left").where("copies > 1 or links is not null")
-    marked = lines.drop("line").join(known, ["h1", "h2"])
-    gone = F.coalesce(F.col("later"), F.lit(False)) | (_place() > F.col("first"))
+    places = p.distinct.select("id", "place")
+    ends = ends.join(places.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(places.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
+    known = ends.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"), F.bool_or(F.col("pb") < F.col("pa")).alias("later"))
+    known = p.distinct.select("id", "h1", "h2", F.col("place").alias("first"), "copies").join(known, "id", "left").where("copies > 1 or links is not null")
+    marked = p.lines.drop("line").join(known, ["h1", "h2"])
+    gone = F.coalesce(F.col("later"), F.lit(False)) | (p.place > F.col("first"))
     return marked.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(gone, F.col("n")))).alias("removed"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
 
 
+def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and removed, as in ``removed_lines``, without counting links: a line needs one earlier similar line."""
+    p = _prepare(docs, threshold, id_col, text_col)
+    order = Window.partitionBy("token").orderBy("place", "id")
+    row = F.struct("id", "place", "size", "bits", "i")
+    tried = p.rows().select(row.alias("y"), F.array(F.first(row).over(order), *(F.lag(row, k).over(order) for k in range(1, BEFORE + 1))).alias("earlier"))
+    tried = tried.select("y", F.explode("earlier").alias("x")).where((F.col("x.place") < F.col("y.place")) & p.fits("x", "y"))
+    apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    best = materialize(tried.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), apart.alias("apart")).groupBy("a").agg(F.min_by("b", "apart").alias("b")), "best")
+    settled = materialize(p.verified(best).select(F.col("a").alias("id")), "settled")
+
+    open_ids = settled.withColumn("open", F.lit(0))
+    marked = Prepared(p.lines, p.distinct.join(small(open_ids), "id", "left").withColumn("open", F.coalesce("open", F.lit(1))), p.place, threshold)
+    x, y = marked.rows("open").alias("x"), marked.rows("open").alias("y")
+    # y is open; told by both sides, so that both are one exchange
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.place") < F.col("y.place")) & (F.col("x.open") + 2 * F.col("y.open") >= 2)
+    rest = materialize(x.join(y, same & p.fits("x", "y")).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "rest")
+    later = settled.union(p.verified(rest).select(F.col("a").alias("id"))).distinct().withColumn("later", F.lit(True))
+
+    known = p.distinct.select("id", "h1", "h2", F.col("place").alias("first"), "copies").join(later, "id", "left").where("copies > 1 or later")
+    marked = p.lines.drop("line").join(known, ["h1", "h2"])
+    gone = F.coalesce(F.col("later"), F.lit(False)) | (p.place > F.col("first"))
+    return marked.where(gone).groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("removed"))
+
+
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines that ``removed_lines`` names: same columns and rows, a new text.
+    """``docs`` without the lines that ``removed_lines`` names, found by ``repeated_lines``: same columns and rows, a new text.
 
     A document that loses no line keeps its text as it is, a null text stays null.  Columns may have any names.
     """
     key, gone = fresh(docs, "doc"), fresh(docs, "removed")
-    found = removed_lines(docs, threshold, id_col, text_col).where("size(removed) > 0").select(F.col("doc_id").alias(key), F.col("removed").alias(gone))
+    found = repeated_lines(docs, threshold, id_col, text_col).select(F.col("doc_id").alias(key), F.col("removed").alias(gone))
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(gone, i))
     text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
     joined = docs.join(found, F.col(id_col).cast("long") == F.col(key), "left")
