@@ -104,6 +104,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
+    for folder in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """The bytes of all texts: the figure by which shards are sized."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0)).alias("n")).first()[0])

@@ -8,8 +8,8 @@ a set of Jaccard similarity ``threshold`` or more with it.
    hashed token, a constant of the plan, so any two lines order their tokens alike whatever shares a slot.
 3. Prefix filter: two similar sets share one of the first n - ceil(t * n) + 1 tokens of each.  These tokens are joined
    with themselves, under the length filter and the positional filter, and under a bound on the sets' symmetric
-   difference: each token flips one of 64 bits, so at least as many tokens differ as bits of the XOR are set.
-4. Candidates that a bitmap of 256 bits, made of their lines, doesn't rule out are verified on the full sets.
+   difference: each token flips one of 128 bits, so at least as many tokens differ as bits of the XOR are set.
+4. Candidates that 256 bits don't rule out are verified on the full sets of their lines.
 
 ``removed_lines`` counts every link, so it takes every pair.  ``dedup_lines`` needs one earlier similar line, so it first
 compares each line with the best of a few earlier ones that share a prefix token, the first and the last before it; most
@@ -22,17 +22,20 @@ partial results, and a token that is in very many prefixes is a skewed join that
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, ship, small
+from .common import discard, fresh, materialize, ship, small
 
 #: Slots of the table of token counts.
 SLOTS = 1 << 16
 
-#: Longs in the bitmap of a candidate line.
+#: Longs in the bitmap of a line, a power of two, and the columns that hold them.
 LONGS = 4
+MAP = tuple(f"m{k}" for k in range(LONGS))
+HALF = tuple(f"f{k}" for k in range(LONGS // 2))
 
 #: How many lines just before a line, among those with one of its prefix tokens, are tried first.
 BEFORE = 2
@@ -76,29 +79,30 @@ class Prepared:
 
     def rows(self, *more: str) -> DataFrame:
         """A row for each token of each prefix."""
-        return self.distinct.select("id", "place", "size", "bits", *more, F.posexplode("prefix").alias("i", "token"))
+        return self.distinct.select("id", "place", "size", *more, F.posexplode("prefix").alias("i", "token"))
 
-    def fits(self, x: str, y: str) -> Column:
+    def _need(self, x: str, y: str) -> Column:
+        """How many tokens two similar sets share at least."""
+        t = self.threshold
+        return F.ceil((F.col(f"{x}.size") + F.col(f"{y}.size")) * (t / (1 + t)) - 1e-9)
+
+    def alike(self, x: str, y: str, columns: tuple[str, ...]) -> Column:
+        """Whether no more bits differ than tokens of similar sets do."""
+        apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns))
+        return apart <= F.col(f"{x}.size") + F.col(f"{y}.size") - 2 * self._need(x, y)
+
+    def fits(self, x: str, y: str, columns: tuple[str, ...] = ("bits",)) -> Column:
         """Whether two rows of one token may be of similar lines: length, position, and bits that differ."""
         a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
-        t = self.threshold
-        need = F.ceil((a("size") + b("size")) * (t / (1 + t)) - 1e-9)
-        ok = F.least(a("size") - a("i"), b("size") - b("i")) >= need
-        ok = ok & (F.least(a("size"), b("size")) >= F.greatest(a("size"), b("size")) * t - 1e-9)
-        return ok & (F.bit_count(a("bits").bitwiseXOR(b("bits"))) <= a("size") + b("size") - 2 * need)
-
-    def _near(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs whose sets may still be similar by a wider bitmap: 64 bits are few for the long lines, whose texts would
-        move for nothing."""
-        words = texts.select("id", F.explode(F.array_distinct(_tokens(F.col("line")))).alias("w")).select("id", F.pmod(F.xxhash64("w", F.lit(5)), F.lit(64 * LONGS)).cast("int").alias("bit"))
-        flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
-        maps = [F.bit_xor(F.when(F.floor(F.col("bit") / 64) == k, flip).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(LONGS)]
-        maps = small(materialize(words.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *maps), "maps"))
-        apart = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(LONGS)), F.lit(0))
-        both = F.col("x.size") + F.col("y.size")
-        ok = apart <= both - 2 * F.ceil(both * (self.threshold / (1 + self.threshold)) - 1e-9)
+        ok = F.least(a("size") - a("i"), b("size") - b("i")) >= self._need(x, y)
+        ok = ok & (F.least(a("size"), b("size")) >= F.greatest(a("size"), b("size")) * self.threshold - 1e-9)
+        return ok & self.alike(x, y, columns)
+
+    def _near(self, pairs: DataFrame, met: DataFrame) -> DataFrame:
+        """The pairs whose sets may still be similar by their whole maps."""
+        maps = small(self.distinct.join(small(met), "id", "left_semi").select("id", "size", *MAP))
         near = pairs.join(maps.alias("x"), F.col("a") == F.col("x.id")).join(maps.alias("y"), F.col("b") == F.col("y.id"))
-        return near.where(ok).select("a", "b")
+        return near.where(self.alike("x", "y", MAP)).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of ids whose sets of words are similar."""
@@ -106,14 +110,17 @@ class Prepared:
         met = materialize(self.distinct.select("id", "h1", "h2").join(small(met), "id", "left_semi"), "met")
         texts = self.lines.select("h1", "h2", "line").join(small(met), ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("line"))
         texts = materialize(texts, "texts")
-        pairs = self._near(pairs, texts)
+        pairs = self._near(pairs, met)
         first = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
         second = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
         sets = [F.array_distinct(_tokens(F.col(c))) for c in ("line_a", "line_b")]
         both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", F.explode(F.array(F.struct(sets[0].alias("x"), sets[1].alias("y")))).alias("s"))
         common = F.size(F.array_intersect("s.x", "s.y"))
         both = both.select("a", "b", F.explode(F.array(F.struct(common.alias("common"), (F.size("s.x") + F.size("s.y")).alias("all")))).alias("s"))
-        return both.where(F.col("s.common") >= (F.col("s.all") - F.col("s.common")) * self.threshold - 1e-9).select("a", "b")
+        found = materialize(both.where(F.col("s.common") >= (F.col("s.all") - F.col("s.common")) * self.threshold - 1e-9).select("a", "b"), "links")
+        for t in (met, texts):
+            discard(t)
+        return found
 
 
 def _prepare(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> Prepared:
@@ -133,10 +140,20 @@ def _prepare(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> P
     numbers = F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), number)))
     size = F.size("numbers")
     prefix = F.slice("numbers", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    one = F.lit(1).cast("long")
-    bits = F.aggregate("numbers", F.lit(0).cast("long"), lambda b, x: b.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))))
-    ready = lines.select(place.alias("place"), "h1", "h2", F.explode(F.array(numbers)).alias("numbers")).select("place", "h1", "h2", size.alias("size"), bits.alias("bits"), prefix.alias("prefix"))
-    distinct = ready.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("size", "bits", "prefix")))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def flips(k: int) -> Column:
+        def step(b: Column, x: Column) -> Column:
+            own = F.shiftright(x, 6).bitwiseAND(LONGS - 1) == k
+            return b.bitwiseXOR(F.when(own, F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))).otherwise(none))
+
+        return F.aggregate("numbers", none, step)
+
+    ready = lines.select(place.alias("place"), "h1", "h2", F.explode(F.array(numbers)).alias("numbers")).select("place", "h1", "h2", size.alias("size"), prefix.alias("prefix"), *(flips(k).alias(m) for k, m in enumerate(MAP)))
+    distinct = ready.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("size", "prefix", *MAP)))
+    # the map folded: each token flips one of 64 or of 128 bits
+    half = [F.col(a).bitwiseXOR(F.col(b)) for a, b in zip(MAP[: LONGS // 2], MAP[LONGS // 2 :])]
+    distinct = distinct.withColumns({"bits": reduce(lambda a, b: a.bitwiseXOR(b), half), **dict(zip(HALF, half))})
     # the prefix's tokens by the 40 lower bits of their hashes: they only bring candidates together
     distinct = distinct.withColumn("prefix", F.transform("prefix", lambda x: x.bitwiseAND((1 << 40) - 1)))
     return Prepared(lines, materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "lines"), place, threshold)
@@ -150,10 +167,10 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     gives an empty result; other columns are not used.
     """
     p = _prepare(docs, threshold, id_col, text_col)
-    x, y = p.rows().alias("x"), p.rows().alias("y")
+    x, y = p.rows(*HALF).alias("x"), p.rows(*HALF).alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
-    pairs = materialize(x.join(y, same & p.fits("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    links = materialize(p.verified(pairs), "links")
+    pairs = materialize(x.join(y, same & p.fits("x", "y", HALF)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    links = p.verified(pairs)
 
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     places = p.distinct.select("id", "place")
@@ -170,18 +187,18 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     p = _prepare(docs, threshold, id_col, text_col)
     order = Window.partitionBy("token").orderBy("place", "id")
     row = F.struct("id", "place", "size", "bits", "i")
-    tried = p.rows().select(row.alias("y"), F.array(F.first(row).over(order), *(F.lag(row, k).over(order) for k in range(1, BEFORE + 1))).alias("earlier"))
+    tried = p.rows("bits").select(row.alias("y"), F.array(F.first(row).over(order), *(F.lag(row, k).over(order) for k in range(1, BEFORE + 1))).alias("earlier"))
     tried = tried.select("y", F.explode("earlier").alias("x")).where((F.col("x.place") < F.col("y.place")) & p.fits("x", "y"))
     apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     best = materialize(tried.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), apart.alias("apart")).groupBy("a").agg(F.min_by("b", "apart").alias("b")), "best")
-    settled = materialize(p.verified(best).select(F.col("a").alias("id")), "settled")
+    settled = p.verified(best).select(F.col("a").alias("id"))
 
     open_ids = settled.withColumn("open", F.lit(0))
     marked = Prepared(p.lines, p.distinct.join(small(open_ids), "id", "left").withColumn("open", F.coalesce("open", F.lit(1))), p.place, threshold)
-    x, y = marked.rows("open").alias("x"), marked.rows("open").alias("y")
+    x, y = marked.rows("open", *HALF).alias("x"), marked.rows("open", *HALF).alias("y")
     # y is open; told by both sides, so that both are one exchange
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.place") < F.col("y.place")) & (F.col("x.open") + 2 * F.col("y.open") >= 2)
-    rest = materialize(x.join(y, same & p.fits("x", "y")).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "rest")
+    rest = materialize(x.join(y, same & p.fits("x", "y", HALF)).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "rest")
     later = settled.union(p.verified(rest).select(F.col("a").alias("id"))).distinct().withColumn("later", F.lit(True))
 
     known = p.distinct.select("id", "h1", "h2", F.col("place").alias("first"), "copies").join(later, "id", "left").where("copies > 1 or later")
