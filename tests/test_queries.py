@@ -1,4 +1,4 @@
-"""Queries against their DuckDB SQL on the smallest data."""
+"""All queries that have DuckDB SQL against it, on the smallest data."""
 
 import duckdb
 import pytest
@@ -7,8 +7,6 @@ from focalgrid.plans.queries import ORACLE_SQL, QUERIES
 
 from .conftest import SF
 
-NAMES = ["foci_transform", "select_by_feature_mean", "expr_nested", "feature_dup_merge", "features_by_ids", "mask_conjunction", "grid_labels", "meta_min_studies", "roi_average", "decode_roi_z", "fdr_threshold"]
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -26,6 +24,6 @@ def rows(df):
     return sorted(map(tuple, df.astype(str).replace("None", "nan").to_numpy().tolist()))
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(ORACLE_SQL[name]).df())
