@@ -3,7 +3,8 @@
 Texts are compared with A-Z and the capitals of Latin-1 in lower case and runs of white space as one space.  An item of m bytes is in a document if a
 stretch of it is within e = ``edit_share`` * m edits of the whole item.  Such a stretch shares at least
 m - q + 1 - q * e of the item's q-grams, on diagonals that lie within e of each other.  So the shared q-grams are
-counted in overlapping bands of 2 * e + 1 diagonals; bands that reach the bound go to a banded alignment.
+counted in overlapping bands of 2 * e + 1 diagonals; bands that reach the bound go to a banded alignment.  e is at most
+(m - q) / q, which keeps the bound positive: a smaller ``q`` allows more edits and gives more bands to align.
 
 The items' q-gram index is built on the driver and sent to the executors.  Its size is checked: it takes about 40 bytes a
 byte of the items, and items beyond ``block_bytes`` are searched in several passes of one block each, whose results are
@@ -37,7 +38,7 @@ def normalise(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(data: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of each run of q bytes (9 <= q <= 16)."""
+    """A 64-bit hash of each run of q bytes (8 <= q <= 16)."""
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)

@@ -130,6 +130,31 @@ def test_leaks_by_scanning_all_pairs(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b, block_bytes=200).collect()} == want
 
 
+def test_leaks_with_a_tenth_of_edits_by_scanning_all_pairs(spark):
+    rng = random.Random(7)
+    items = [(i, " ".join(rng.choices(WORDS, k=k))) for i, k in enumerate((3, 4, 6, 9, 14, 20))]
+    docs = []
+    for i in range(60):
+        words = rng.choices(WORDS, k=30)
+        if i % 2:
+            held = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 2 + len(held) // 9)):
+                at = rng.randrange(len(held))
+                held[at : at + 1] = rng.choice(["", "q", "zz"])
+            words.insert(rng.randrange(30), "".join(held))
+        docs.append((i, " ".join(words)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.leaks(d, b, edit_share=0.1, q=8).collect()}
+    want = {}
+    for doc_id, text in docs:
+        for item_id, item in items:
+            m, least = len(item), edit_distance_within(item, text)
+            if m >= 8 and least <= min(int(m * 0.1), (m - 8) // 8):
+                want[doc_id, item_id] = least
+    assert got.keys() == want.keys() and max(want.values()) >= 5
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, b, edit_share=0.1, q=8).collect()} == {x for x, _ in docs} - {x for x, _ in want}
+
+
 def test_ftrl_follows_the_dense_formula():
     rng = np.random.default_rng(0)
     samples = [np.unique(rng.integers(0, 16, 5)) for _ in range(60)]
