@@ -167,6 +167,9 @@ def align(want: bytes, part: bytes, limit: int) -> tuple[int, int, int] | None:
             new = np.where(ok[i : i + width], row + (y_here != x[i]), far)
             new[:-1] = np.minimum(new[:-1], row[1:] + 1)
             row = np.minimum.accumulate(new - k) + k
+            # the least of a row never falls again
+            if i % 8 == 7 and row.min() > limit:
+                break
         return row
 
     if len(b) + 2 * limit < len(a):
