@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..utils import small
+from .components import spread_components
 from .dataset import Dataset
 from .meta import evaluate
 
@@ -66,11 +67,12 @@ MAX_ROWS = 10_000
 def study_components(data: DataFrame, n_components: int, max_studies: int = MAX_ROWS) -> DataFrame:
     """(study_id, c array<double>): principal components of studies by voxels, from the Gram matrix of the studies.
 
-    Only as many studies as ``max_studies`` are accepted: the matrix of their common voxels goes to the driver.
+    The matrix of the voxels that up to ``max_studies`` studies have in common goes to the driver; more studies go to
+    ``spread_components``.
     """
     ids = [r.study_id for r in data.select("study_id").distinct().orderBy("study_id").limit(max_studies + 1).collect()]
     if len(ids) > max_studies:
-        raise ValueError(f"over {max_studies} studies")
+        return spread_components(data, n_components)
     place = {s: i for i, s in enumerate(ids)}
     a, b = data.select(F.col("study_id").alias("a"), "voxel_id"), data.select(F.col("study_id").alias("b"), "voxel_id")
     gram = np.zeros((len(ids), len(ids)))
@@ -103,6 +105,14 @@ def independent(scores: np.ndarray, rounds: int = 200, seed: int = 0) -> np.ndar
     return z @ w.T
 
 
+def _bounded(scores: DataFrame) -> list:
+    """The rows of components, for a rotation on the driver."""
+    rows = scores.limit(100 * MAX_ROWS + 1).collect()
+    if len(rows) > 100 * MAX_ROWS:
+        raise ValueError(f"over {100 * MAX_ROWS} rows to rotate")
+    return rows
+
+
 def _voxel_profile(roi: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
     """(voxel_id, profile): the distance of each voxel's study vector to each component, over all studies with scores."""
     n, size = (scores.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("c")).alias("k")).first()[x] for x in ("n", "k"))
@@ -146,10 +156,12 @@ def _study_profile(roi: DataFrame, reduce_reference: str | None, n_components: i
     limit = MAX_ROWS if reduce_reference is None else n_components
     if turned.select("study_id").distinct().limit(MAX_ROWS + 1).count() <= MAX_ROWS:
         scores = study_components(turned, limit)
+    elif reduce_reference is not None and roi.select("study_id").distinct().limit(MAX_ROWS + 1).count() > MAX_ROWS:
+        scores = spread_components(turned, limit)
     else:
         scores = _projected(turned, limit)
     if reduce_reference == "ica":
-        rows = scores.collect()
+        rows = _bounded(scores)
         mixed = independent(np.array([r.c for r in rows]), seed=seed)
         scores = scores.sparkSession.createDataFrame([(r.study_id, [float(x) for x in t]) for r, t in zip(rows, mixed)], "study_id string, c array<double>")
     return scores.select(F.col("study_id").cast(roi.schema["voxel_id"].dataType).alias("voxel_id"), F.col("c").alias("profile"))
@@ -161,8 +173,8 @@ def magic(dataset: Dataset, method: str = "coactivation", roi_mask: DataFrame |
     coactivation: by the distances of a voxel's studies to the components (``pca``, ``ica`` or None: the studies' own
     reduced scores without rotation) of the studies over ``coactivation_mask``.  features: by the mean feature weights
     of a voxel's studies.  studies: by the components of the voxels over their studies, or by the studies as they are
-    (``reduce_reference`` None); voxels or studies must be at most ``MAX_ROWS``.  coactivation takes at most ``MAX_ROWS`` studies, and
-    None reduces there too.  k-means only; ``minik`` means the same, as Spark has no batches.
+    (``reduce_reference`` None); there, voxels or studies must be at most ``MAX_ROWS``.  coactivation reduces with None
+    too.  ``ica`` turns at most 100 * ``MAX_ROWS`` rows of components, on the driver.  k-means only; ``minik`` means the same, as Spark has no batches.
     """
     if algorithm not in ("kmeans", "minik"):
         raise ValueError("algorithm: kmeans or minik")
@@ -171,7 +183,7 @@ def magic(dataset: Dataset, method: str = "coactivation", roi_mask: DataFrame |
         reference = Clusterable(dataset, coactivation_mask, features, feature_threshold, min_voxels_per_study, min_studies_per_voxel).data
         scores = study_components(reference, n_components)
         if reduce_reference == "ica":
-            rows = scores.collect()
+            rows = _bounded(scores)
             turned = independent(np.array([r.c for r in rows]), seed=seed)
             scores = scores.sparkSession.createDataFrame([(r.study_id, [float(x) for x in t]) for r, t in zip(rows, turned)], "study_id string, c array<double>")
         points = _voxel_profile(roi, scores, distance_metric)

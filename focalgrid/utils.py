@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import logging
 import os
+import tempfile
 import warnings
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,20 @@ def small(table: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def cut(table: DataFrame) -> DataFrame:
+    """``table`` written to the folder of ``spark.checkpoint.dir``, without its lineage; a local master may do without the setting."""
+    spark = table.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return table.checkpoint()
+
+
 def deprecated(*args):
     """Decorator, with or without a message: a call warns with DeprecationWarning."""
     message = args[0] if args and isinstance(args[0], str) else ""

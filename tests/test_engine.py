@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from focalgrid import utils
 from focalgrid.functions import geometry, stats
-from focalgrid.operators import classify, cluster, decode, meta, regions, topics
+from focalgrid.operators import classify, cluster, components, decode, meta, regions, topics
 from focalgrid.operators.dataset import Dataset
 from focalgrid.operators.expression import Leaf, parse
 from focalgrid.operators.features import FeatureTable
@@ -287,6 +287,29 @@ def test_clusters_by_studies_keep_the_rows(data, monkeypatch, limit):
         assert abs(((got[a] - got[b]) ** 2).sum() - len(studies[a] ^ studies[b])) < 1e-6
 
 
+@pytest.mark.parametrize("studies, voxels, rank", [(60, 40, 4), (12, 8, 20)])
+def test_components_without_a_square_matrix(spark, studies, voxels, rank):
+    rng = np.random.default_rng(studies)
+    x = (rng.random((studies, voxels)) < 0.3).astype(float)
+    x[:, : voxels // 2] *= rng.random((studies, 1)) < 0.5
+    x[:, 0] = 1  # every study has a row
+    rows = [(f"s{i}", int(j)) for i, j in zip(*np.nonzero(x))]
+    data = spark.createDataFrame(rows, "study_id string, voxel_id int")
+    got = {r.study_id: r.c for r in components.spread_components(data, rank, extra=14, power=5).collect()}
+    assert len(got) == studies
+    y = np.array([got[f"s{i}"] for i in range(studies)])
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    k = y.shape[1]
+    assert k <= rank and np.allclose(s[k:rank], 0, atol=1e-6)
+    assert np.allclose(np.linalg.norm(y, axis=0), s[:k], rtol=1e-3)
+    assert np.allclose(y.sum(axis=0), 0, atol=1e-6) and np.allclose(y.T @ y, np.diag((y * y).sum(axis=0)), atol=1e-6)
+    best = u[:, 0] * s[0]
+    assert min(np.abs(y[:, 0] - best).max(), np.abs(y[:, 0] + best).max()) < 1e-2
+    if rank > voxels:
+        assert cluster.study_components(data, 2, max_studies=5).count() == studies
+        assert components.spread_components(data.limit(0), 3, 0, 0).count() == 0
+
+
 def test_topics_learn_from_all_documents(spark, monkeypatch):
     made, real, asked = [], topics.LDA, []
     monkeypatch.setattr(topics, "LDA", lambda **k: made.append(real(**k)) or made[-1])
