@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from . import expression as ex
 
 log = logging.getLogger(__name__)
@@ -66,9 +67,9 @@ class FeatureTable:
         """Per study, over all matched features with zeros for missing rows."""
         n, w = len(features), F.when(F.col("feature").isin(list(features)), F.col("weight"))
         if func == "sum" or n == 0:
-            return F.coalesce(F.sum(w), F.lit(0.0)) if func == "sum" else F.lit(None).cast("double")
+            return F.coalesce(stats.exact_sum(w), F.lit(0.0)) if func == "sum" else F.lit(None).cast("double")
         if func == "mean":
-            return F.coalesce(F.sum(w), F.lit(0.0)) / n
+            return F.coalesce(stats.exact_sum(w), F.lit(0.0)) / n
         edge, pick = (F.max, F.greatest) if func == "max" else (F.min, F.least)
         return F.when(F.count(w) == n, edge(w)).otherwise(pick(F.coalesce(edge(w), F.lit(0.0)), F.lit(0.0)))
 

@@ -131,6 +131,27 @@ def test_study_weights(table):
     assert ids(table.study_weights("nothing", 0.0, "mean")) == []
 
 
+def test_sums_at_a_limit_do_not_depend_on_order(spark):
+    orders = list(itertools.permutations((0.1, 0.2, 0.3)))
+    rows = [(f"study{i}", f"f{k}", w) for i, ws in enumerate(orders) for k, w in enumerate(ws)]
+    t = FeatureTable.from_long(spark.createDataFrame(rows, "study_id string, feature string, weight double").coalesce(1))
+    every = list(range(len(orders)))
+    assert ids(t.study_weights("f*", 0.6)) == every  # 0.6000000000000001 in some orders
+    assert {r.weight for r in t.study_weights("f*", 0.6).collect()} == {math.fsum(orders[0])} == {0.6}
+    assert ids(t.study_weights("f*", math.nextafter(0.6, 1))) == []
+    assert ids(t.study_weights("f*", 0.6 / 3, "mean")) == ids(t.ids_by_expression("f* > 0.6")) == every
+    assert ids(t.ids_by_expression(f"f* > {math.nextafter(0.6, 1)!r}")) == ids(t.ids_by_expression("f* < 0.6")) == []
+
+
+def test_exact_sum(spark):
+    rng = np.random.default_rng(0)
+    values = [float(x) for x in rng.random(3000) * rng.choice([1e-5, 1.0, 1e3], 3000) * rng.choice([-1, 1], 3000)]
+    for v in (values, [0.0], [None, 0.1], [1e300, 1.0], [float("inf"), 1.0], [2.0**23, 2.0**-30]):
+        got = spark.createDataFrame([(x,) for x in v], "x double").repartition(3).agg(stats.exact_sum(F.col("x")).alias("s")).first().s
+        assert got == math.fsum(x for x in v if x is not None)
+    assert spark.createDataFrame([(None,)], "x double").agg(stats.exact_sum(F.col("x")).alias("s")).first().s is None
+
+
 def test_merges(table, new):
     def shape(t):
         return t.studies.count(), t.names.count()
