@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -36,8 +36,18 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` with some columns rounded to nine digits; -0.0 becomes 0.0."""
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), 9) + F.lit(0.0) for c in columns})
+    """``df`` with some columns rounded to nine digits; -0.0 becomes 0.0.
+
+    As DuckDB's ``round`` does: the double nearest to value * 1e9 to a whole number, halves away from zero.  Spark's own
+    rounds the decimal digits, and differs where the product is rounded to a half.
+    """
+
+    def nine(v: Column) -> Column:
+        size = F.abs(v) * 1e9
+        even = F.rint(size)
+        return F.signum(v) * F.when(size - even == 0.5, even + 1).otherwise(even) / 1e9 + F.lit(0.0)
+
+    return df.withColumns({c: nine(F.col(f"`{c}`")) for c in columns})
 
 
 # foci and voxels

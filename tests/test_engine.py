@@ -14,7 +14,7 @@ from focalgrid.operators.dataset import Dataset
 from focalgrid.operators.expression import Leaf, parse
 from focalgrid.operators.features import FeatureTable
 from focalgrid.operators.masker import Masker
-from focalgrid.plans.queries import QUERIES
+from focalgrid.plans.queries import QUERIES, rounded
 from focalgrid.sources import activations, nifti
 
 from .conftest import SF
@@ -152,6 +152,17 @@ def test_exact_sum(spark):
     assert spark.createDataFrame([(None,)], "x double").agg(stats.exact_sum(F.col("x")).alias("s")).first().s is None
 
 
+def test_rounding_is_that_of_duckdb(spark):
+    import duckdb
+
+    rng = np.random.default_rng(1)
+    x = (rng.integers(16 * 10**9, 32 * 10**9, 2000) + 0.5) / 1e9
+    x = [float(v) for v in (*x, *np.nextafter(x, 0), *-np.nextafter(x, 0), 0.0, -0.0, -1e-12, 0.49999999999999994e-9, 1e15)] + [None]
+    got = rounded(spark.createDataFrame(list(enumerate(x)), "i int, x double"), "x").orderBy("i").toPandas().x.tolist()
+    want = [r for (r,) in duckdb.execute("select round(v, 9) + 0.0 from (select unnest(?::double[]) as v)", [x]).fetchall()]
+    assert [g for g in got[:-1]] == want[:-1] and got[-1] != got[-1] and want[-1] is None
+
+
 def test_merges(table, new):
     def shape(t):
         return t.studies.count(), t.names.count()
