@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..utils import small
+from ..utils import cut, small
 from .components import spread_components
 from .dataset import Dataset
 from .meta import evaluate
@@ -37,7 +37,8 @@ class Clusterable:
     def data(self) -> DataFrame:
         """(study_id, voxel_id)."""
         d = self.dataset
-        rows = d.study_voxel
+        # the whole grid matters only to how many voxels a study has
+        rows = d.study_voxel if self.mask is None or self.min_voxels is not None else d.voxels_in(self.mask)
         if self.features is not None:
             rows = rows.join(d._features().study_weights(self.features, self.feature_threshold).select("study_id"), "study_id", "left_semi")
         voxels = studies = None
@@ -190,7 +191,8 @@ def magic(dataset: Dataset, method: str = "coactivation", roi_mask: DataFrame |
     elif method == "features":
         f = dataset._features()
         n = dataset.studies.count()
-        w = f.weights.join(f.names, "feature").select("study_id", F.col("ordinal").alias("k"), "weight")
+        roi = cut(roi)  # read three times
+        w = f.weights.join(small(roi.select("study_id").distinct()), "study_id", "left_semi").join(f.names, "feature").select("study_id", F.col("ordinal").alias("k"), "weight")
         mean = roi.join(w, "study_id").groupBy("voxel_id", "k").agg((F.sum("weight") / n).alias("v"))
         size = f.names.count()
         pairs = mean.groupBy("voxel_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
@@ -199,7 +201,7 @@ def magic(dataset: Dataset, method: str = "coactivation", roi_mask: DataFrame |
         points = _study_profile(roi, reduce_reference, n_components, seed)
     else:
         raise ValueError("method: coactivation, features or studies")
-    vectors = points.select("voxel_id", array_to_vector("profile").alias("features"))
+    vectors = cut(points).select("voxel_id", array_to_vector("profile").alias("features"))  # read by each pass and by the model
     model = KMeans(k=n_clusters, seed=seed).fit(vectors)
     return model.transform(vectors).select("voxel_id", (F.col("prediction") + 1).alias("cluster"))
 

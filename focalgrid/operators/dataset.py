@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
@@ -44,6 +45,18 @@ class Dataset:
             return self.kept_voxels
         return stamp(self.foci, self.radius, self.grid).join(self.masker.volume.select("voxel_id"), "voxel_id", "left_semi").select("study_id", "voxel_id")
 
+    def voxels_in(self, mask: DataFrame) -> DataFrame:
+        """The rows of ``study_voxel`` at the voxels of ``mask``; only foci that can reach the box around these are stamped."""
+        mask = mask.select("voxel_id").distinct()
+        if self.kept_voxels is not None:
+            return self.kept_voxels.join(mask, "voxel_id", "left_semi")
+        axes = dict(zip(("xi", "yj", "zk"), self.grid.indices(F.col("voxel_id"))))
+        box = mask.agg(*(f(i).alias(f"{n}_{a}") for a, i in axes.items() for n, f in (("min", F.min), ("max", F.max)))).first()
+        reach = math.ceil(self.radius / self.grid.size) + 1
+        near = reduce(lambda a, b: a & b, (F.col(a).between(box[f"min_{a}"] - reach, box[f"max_{a}"] + reach) if box[f"min_{a}"] is not None else F.lit(False) for a in axes))
+        rows = stamp(self.foci.where(near), self.radius, self.grid).join(mask, "voxel_id", "left_semi")
+        return rows.join(self.masker.volume.select("voxel_id"), "voxel_id", "left_semi").select("study_id", "voxel_id")
+
     def with_radius(self, radius: float) -> Dataset:
         return replace(self, radius=radius, kept_voxels=None)
 

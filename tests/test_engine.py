@@ -297,6 +297,19 @@ def test_clusters(data):
     assert np.allclose(np.cov(cluster.independent(x), rowvar=False), np.eye(3), atol=0.05)
 
 
+@pytest.mark.parametrize("radius", [6, 4, 5])
+def test_foci_far_from_a_mask_are_not_stamped(spark, data, monkeypatch, radius):
+    d = data.with_radius(radius)
+    mask = regions.sphere(d, (-30, 15, 20), 24.0)
+    want = {(r.study_id, r.voxel_id) for r in d.study_voxel.join(mask, "voxel_id", "left_semi").select("study_id", "voxel_id").collect()}
+    seen = []
+    monkeypatch.setattr("focalgrid.operators.dataset.stamp", lambda foci, *a: seen.append(foci.count()) or geometry.stamp(foci, *a))
+    rows = cluster.Clusterable(d, mask).data.collect()
+    assert want and len(rows) == len(want) and {(r.study_id, r.voxel_id) for r in rows} == want
+    assert seen and seen[0] < d.foci.count()
+    assert cluster.Clusterable(d, mask.limit(0)).data.count() == 0
+
+
 @pytest.mark.parametrize("limit", [10_000, 6])
 def test_clusters_by_studies_keep_the_rows(data, monkeypatch, limit):
     monkeypatch.setattr(cluster, "MAX_ROWS", limit)
