@@ -366,6 +366,32 @@ def test_topics_learn_from_all_documents(spark, monkeypatch):
     assert asked == [{}]
 
 
+def test_topics_take_each_document_once_and_infer_as_spark(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'pq'[i % 2]}{'abcdefghij'[j]}x" for j in rng.integers(0, 10, 5 + 40 * (i % 9 == 0))) for i in range(60)] + ["of the"]
+    words = spark.createDataFrame([(str(i), t.split()) for i, t in enumerate(texts)], "doc_id string, kept array<string>")
+    counter = topics.CountVectorizer(inputCol="kept", outputCol="features").fit(words.where("doc_id < '60'"))
+    counted = counter.transform(words).select("doc_id", "features")
+    lda = topics.LDA(k=3, maxIter=4, seed=1, subsamplingRate=1.0, docConcentration=[0.5] * 3, topicConcentration=0.01)
+    model = lda.fit(counted)
+    matrix = model.topicsMatrix().toArray()
+    vectors = topics._vectors(counted)
+    mine = np.zeros((len(texts), 3))
+    for r in topics.document_topics(vectors, matrix, np.array(model.estimatedDocConcentration().toArray())).collect():
+        mine[int(r.doc_id), r.topic] = r.weight
+    theirs = {int(r.doc_id): r.topicDistribution.toArray() for r in model.transform(counted).collect()}
+    assert max(np.abs(mine[i] - theirs[i]).max() for i in theirs) < 2e-3
+
+    lam, alpha = topics.learn(vectors, lda, len(counter.vocabulary))
+    tokens = sum(r.features.values.sum() for r in counted.collect())
+    mass = np.random.default_rng(1).gamma(100, 0.01, lam.shape).sum()
+    for turn in range(1, 5):
+        w = (1024 + turn) ** -0.51
+        mass = (1 - w) * mass + w * (tokens + lam.size * 0.01)
+    assert lam.sum() == pytest.approx(mass, rel=1e-5)  # Spark draws documents with replacement and misses some
+    assert (alpha > 0).all() and np.abs(alpha - 0.5).max() > 1e-4
+
+
 def test_classes(spark):
     rows = spark.createDataFrame([(f"s{i}", float(i % 2), [float(i % 2) + 0.01 * i, 1.0, float(i % 7)]) for i in range(60)], "study_id string, label double, x array<double>")
     assert classify.select_features(rows, "1-best") == [0]
