@@ -11,7 +11,14 @@ a set of Jaccard similarity ``threshold`` or more with it.
    difference: each token flips one of 128 bits, so at least as many tokens differ as bits of the XOR are set.
 4. Candidates that 256 bits don't rule out are verified on the full sets of their lines.
 
-``removed_lines`` counts every link, so it takes every pair.  ``dedup_lines`` needs one earlier similar line, so it first
+``removed_lines`` counts every link.  Lines of large groups of near copies are not paired for that: each is described by
+the words that it has more and less than the words of most lines of its group.  Two lines of a group share all of these
+but what either lacks, and the words that both have more or lack.  So the numbers of such words alone tell that most pairs
+are similar, and these are counted by numbers; the others are similar only if they share enough of these few words, which
+a join of the words tells exactly.  The prefix join then takes only pairs of lines that are not of one group, and the
+tokens of many prefixes are joined by classes of size.
+
+``dedup_lines`` needs one earlier similar line, so it first
 compares each line with the best of a few earlier ones that share a prefix token, the first and the last before it; most
 lines of a large group of near copies are settled so, and only the others join with all earlier lines.
 
@@ -21,6 +28,7 @@ partial results, and a token that is in very many prefixes is a skewed join that
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,10 +40,16 @@ from .common import discard, fresh, materialize, ship, small
 #: Slots of the table of token counts.
 SLOTS = 1 << 16
 
-#: Longs in the bitmap of a line, a power of two, and the columns that hold them.
+#: Longs in the bitmap of a line that is verified, a power of two, and the columns that hold them.
 LONGS = 4
 MAP = tuple(f"m{k}" for k in range(LONGS))
-HALF = tuple(f"f{k}" for k in range(LONGS // 2))
+#: The columns of the smaller bitmap that every line has.
+HALF = tuple(f"f{k}" for k in range(2))
+
+#: In how many prefixes a token is that is tried for groups, and one that is joined by classes of size; the lines of the least group.
+MANY = 32
+CLASSES = 256
+LEAST = 8
 
 #: How many lines just before a line, among those with one of its prefix tokens, are tried first.
 BEFORE = 2
@@ -64,8 +78,27 @@ def _place(docs: DataFrame) -> Column:
     return (doc.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + n.cast("decimal(11,0)")).cast("decimal(38,0)")
 
 
-def _slot(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token, F.lit(3)), F.lit(SLOTS)).cast("int")
+def _slot(number: Column) -> Column:
+    return number.bitwiseAND(SLOTS - 1).cast("int")
+
+
+def _flips(columns: tuple[str, ...]) -> list[Column]:
+    """The bitmap of the array ``numbers``: each number flips one bit."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def flips(k: int) -> Column:
+        def step(b: Column, x: Column) -> Column:
+            own = F.shiftright(x, 6).bitwiseAND(len(columns) - 1) == k
+            return b.bitwiseXOR(F.when(own, F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))).otherwise(none))
+
+        return F.aggregate("numbers", none, step)
+
+    return [flips(k).alias(c) for k, c in enumerate(columns)]
+
+
+def _column(row: str):
+    """The columns of a row by name."""
+    return lambda c: F.col(f"{row}.{c}")
 
 
 @dataclass(frozen=True)
@@ -81,26 +114,38 @@ class Prepared:
         """A row for each token of each prefix."""
         return self.distinct.select("id", "place", "size", *more, F.posexplode("prefix").alias("i", "token"))
 
-    def _need(self, x: str, y: str) -> Column:
-        """How many tokens two similar sets share at least."""
+    def _need(self, both: Column) -> Column:
+        """How many tokens two similar sets of so many together share at least."""
         t = self.threshold
-        return F.ceil((F.col(f"{x}.size") + F.col(f"{y}.size")) * (t / (1 + t)) - 1e-9)
+        return F.ceil(both * (t / (1 + t)) - 1e-9)
 
-    def alike(self, x: str, y: str, columns: tuple[str, ...]) -> Column:
+    def alike(self, x: str, y: str, columns: tuple[str, ...], of=_column) -> Column:
         """Whether no more bits differ than tokens of similar sets do."""
-        apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns))
-        return apart <= F.col(f"{x}.size") + F.col(f"{y}.size") - 2 * self._need(x, y)
+        a, b = of(x), of(y)
+        apart = reduce(lambda p, q: p + q, (F.bit_count(a(c).bitwiseXOR(b(c))) for c in columns))
+        return apart <= a("size") + b("size") - 2 * self._need(a("size") + b("size"))
 
-    def fits(self, x: str, y: str, columns: tuple[str, ...] = ("bits",)) -> Column:
+    def fits(self, x: str, y: str, columns: tuple[str, ...] = ("bits",), of=_column) -> Column:
         """Whether two rows of one token may be of similar lines: length, position, and bits that differ."""
-        a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
-        ok = F.least(a("size") - a("i"), b("size") - b("i")) >= self._need(x, y)
+        a, b = of(x), of(y)
+        ok = F.least(a("size") - a("i"), b("size") - b("i")) >= self._need(a("size") + b("size"))
         ok = ok & (F.least(a("size"), b("size")) >= F.greatest(a("size"), b("size")) * self.threshold - 1e-9)
-        return ok & self.alike(x, y, columns)
+        return ok & self.alike(x, y, columns, of)
+
+    def similar(self, common: Column, both: Column) -> Column:
+        """Whether sets of so many words together that share so many are similar."""
+        return common >= (both - common) * self.threshold - 1e-9
 
-    def _near(self, pairs: DataFrame, met: DataFrame) -> DataFrame:
+    def texts(self, met: DataFrame, name: str) -> DataFrame:
+        """The line of each row of ``met``, which has id, h1 and h2, with its other columns."""
+        rest = [c for c in met.columns if c not in ("h1", "h2")]
+        return materialize(self.lines.select("h1", "h2", "line").join(small(met), ["h1", "h2"]).groupBy(*rest).agg(F.min("line").alias("line")), name)
+
+    def _near(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs whose sets may still be similar by their whole maps."""
-        maps = small(self.distinct.join(small(met), "id", "left_semi").select("id", "size", *MAP))
+        numbers = F.transform(F.array_distinct(_tokens(F.col("line"))), lambda w: F.xxhash64(w))
+        maps = materialize(texts.select("id", F.explode(F.array(numbers)).alias("numbers")).select("id", F.size("numbers").alias("size"), *_flips(MAP)), "maps")
+        maps = small(maps)
         near = pairs.join(maps.alias("x"), F.col("a") == F.col("x.id")).join(maps.alias("y"), F.col("b") == F.col("y.id"))
         return near.where(self.alike("x", "y", MAP)).select("a", "b")
 
@@ -108,52 +153,129 @@ class Prepared:
         """The pairs (a, b) of ids whose sets of words are similar."""
         met = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         met = materialize(self.distinct.select("id", "h1", "h2").join(small(met), "id", "left_semi"), "met")
-        texts = self.lines.select("h1", "h2", "line").join(small(met), ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("line"))
-        texts = materialize(texts, "texts")
-        pairs = self._near(pairs, met)
+        texts = self.texts(met, "texts")
+        pairs = self._near(pairs, texts)
         first = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
         second = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
         sets = [F.array_distinct(_tokens(F.col(c))) for c in ("line_a", "line_b")]
         both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", F.explode(F.array(F.struct(sets[0].alias("x"), sets[1].alias("y")))).alias("s"))
         common = F.size(F.array_intersect("s.x", "s.y"))
         both = both.select("a", "b", F.explode(F.array(F.struct(common.alias("common"), (F.size("s.x") + F.size("s.y")).alias("all")))).alias("s"))
-        found = materialize(both.where(F.col("s.common") >= (F.col("s.all") - F.col("s.common")) * self.threshold - 1e-9).select("a", "b"), "links")
+        found = materialize(both.where(self.similar(F.col("s.common"), F.col("s.all"))).select("a", "b"), "links")
         for t in (met, texts):
             discard(t)
         return found
 
+    def often(self) -> DataFrame:
+        """The tokens of ``MANY`` prefixes or more, each with the first line that has it there."""
+        often = self.rows().groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where(F.col("n") >= MANY)
+        often = materialize(often, "often")
+        leads = self.distinct.select(F.col("id").alias("lead"), F.struct("id", "size", *HALF).alias("x"))
+        return materialize(leads.join(small(often), "lead").select("token", "n", "x"), "often")
+
+    def deltas(self, often: DataFrame) -> DataFrame:
+        """Lines by group (g), with the words that they have more and less than most lines there, and the numbers of these.
+
+        A line goes to the first line of one of its tokens if that may be similar, and so on.  Any groups give the same
+        links.  Lines that differ in too many words from their group are left out.
+        """
+        tried = self.rows(*HALF).alias("y").join(small(often.select("token", "x")), "token").where((F.col("x.id") < F.col("y.id")) & self.alike("x", "y", HALF))
+        up = materialize(tried.groupBy(F.col("y.id").alias("id")).agg(F.min("x.id").alias("g")), "leads")
+        step = small(up.select(F.col("id").alias("g"), F.col("g").alias("next")))
+        top = up
+        for _ in range(3):
+            top = top.join(step, "g", "left").select("id", F.coalesce("next", "g").alias("g"))
+        top = materialize(top, "leads")
+        heads = top.select("g").distinct().join(small(up.select(F.col("id").alias("g"))), "g", "left_anti")
+        top = top.union(heads.select(F.col("g").alias("id"), "g"))
+        large = materialize(top.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST), "groups")
+        members = self.distinct.select("id", "h1", "h2", "place").join(small(materialize(top.join(small(large), "g"), "members")), "id")
+        lines = self.texts(materialize(members, "members"), "texts")
+        words = materialize(lines.select("id", "g", "n", "place", F.array_distinct(_tokens(F.col("line"))).alias("words")), "words")
+        most = words.select("g", "n", F.explode("words").alias("w")).groupBy("g", "n", "w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 2 > F.col("n"))
+        most = materialize(most.groupBy("g").agg(F.collect_list("w").alias("most")), "most")
+        told = words.join(small(most), "g").select("id", "g", "place", F.size("words").alias("size"), F.array_except("words", "most").alias("more"), F.array_except("most", "words").alias("less"))
+        told = told.select("*", F.size("more").alias("m"), F.size("less").alias("l"))
+        apart = (1 - self.threshold) / (1 + self.threshold)
+        found = materialize(told.where(F.col("m") + F.col("l") <= F.col("size") * 2 * apart), "deltas")
+        for t in (up, lines, words, most, large):
+            discard(t)
+        return found
+
+    def within(self, deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the lines of ``deltas``: id, links and later, by the pairs of a group that numbers alone tell to be similar; and the other similar pairs (a, b) of a group."""
+        x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+        shared, both = x("size") - x("m") - y("l"), x("size") + y("size")
+        kinds = materialize(deltas.groupBy("g", "size", "m", "l").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")), "kinds")
+        sure = kinds.alias("x").join(small(kinds).alias("y"), (x("g") == y("g")) & self.similar(shared, both))
+        sure = sure.groupBy(*(x(c).alias(c) for c in ("g", "size", "m", "l"))).agg(F.sum(y("n")).alias("links"), F.min(y("first")).alias("first"))
+        # a line is not linked with itself
+        own = F.col("size") - F.col("m") - F.col("l")
+        own = self.similar(own, F.col("size") * 2).cast("int")
+        sure = deltas.select("id", "place", "g", "size", "m", "l").join(small(materialize(sure, "sure")), ["g", "size", "m", "l"])
+        sure = sure.select("id", (F.col("links") - own).alias("links"), (F.col("first") < F.col("place")).alias("later"))
+
+        signed = F.concat(F.transform("more", lambda w: F.concat(F.lit("+"), w)), F.transform("less", lambda w: F.concat(F.lit("-"), w)))
+        parts = deltas.select("id", "g", "size", "m", "l", F.explode(signed).alias("w"))
+        may = shared + F.least(x("m"), y("m")) + F.least(x("l"), y("l"))
+        met = (x("g") == y("g")) & (x("w") == y("w")) & (x("id") < y("id")) & ~self.similar(shared, both) & self.similar(may, both)
+        pairs = parts.alias("x").join(parts.alias("y"), met).groupBy(x("id").alias("a"), y("id").alias("b"), shared.alias("shared"), both.alias("both")).agg(F.count(F.lit(1)).alias("c"))
+        return sure, pairs.where(self.similar(F.col("shared") + F.col("c"), F.col("both"))).select("a", "b")
+
+    def across(self, often: DataFrame, deltas: DataFrame) -> DataFrame:
+        """The pairs (a, b) of lines, not of one group, that may be similar: by the prefix of the smaller that such pairs share, and classes of size for tokens of ``often``."""
+        t = self.threshold
+        groups = small(deltas.select("id", (F.col("g") + 1).alias("g")))
+        first = F.col("size") - F.ceil(F.col("size") * (2 * t / (1 + t)) - 1e-9) + 1
+
+        def kind(size: Column) -> Column:
+            return F.floor(F.log(size) / -math.log(t)) if 0.01 < t < 0.99 else F.lit(0).cast("long")
+
+        rows = self.distinct.join(groups, "id", "left").select("id", "size", *HALF, F.coalesce("g", F.lit(0)).alias("g"), kind(F.col("size")).alias("k"), kind(F.col("size") * (1 / t + 1e-6) if t > 0.01 else F.col("size")).alias("last"), first.alias("first"), F.posexplode("prefix").alias("i", "token"))
+        rows = rows.join(small(often.where(F.col("n") >= CLASSES).select("token", F.lit(True).alias("many"))), "token", "left")
+        short = F.col("i") < F.col("first")
+        # a token of many prefixes stands in the line's class, and, of the smaller line, in all that larger ones may be in
+        at = F.when(F.col("many"), F.sequence("k", F.when(short, F.col("last")).otherwise(F.col("k")))).otherwise(F.array(F.lit(-1).cast("long")))
+        rows = rows.select("id", "size", *HALF, "g", "i", "token", "k", short.cast("int").alias("short"), F.explode(at).alias("at"))
+        own = F.when((F.col("at") == -1) | (F.col("at") == F.col("k")), 2).otherwise(0)
+        # size, place in the prefix and side as one number, for shorter rows in the exchange
+        packed = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 2)).bitwiseOR((F.col("short") + own).cast("long"))
+        rows = rows.select("id", *HALF, "g", F.shiftleft(F.col("at") + 1, 40).bitwiseOR(F.col("token")).alias("token"), packed.alias("packed"))
+        parts = {"size": lambda p: F.shiftright(p, 32).cast("int"), "i": lambda p: F.shiftright(p, 2).bitwiseAND((1 << 30) - 1).cast("int"), "side": lambda p: p.bitwiseAND(3)}
+
+        def of(row: str):
+            return lambda c: parts[c](F.col(f"{row}.packed")) if c in parts else F.col(f"{row}.{c}")
+
+        x, y = of("x"), of("y")
+        # told by both sides, so that both are one exchange
+        same = (x("token") == y("token")) & (x("side").bitwiseAND(1) + y("side").bitwiseAND(2) == 3) & ((x("size") < y("size")) | (x("size") == y("size")) & (x("id") < y("id")))
+        same = same & ((x("g") == 0) | (x("g") != y("g")))
+        return rows.alias("x").join(rows.alias("y"), same & self.fits("x", "y", HALF, of)).select(x("id").alias("a"), y("id").alias("b")).distinct()
+
 
 def _prepare(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> Prepared:
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines, place = _lines(d), _place(d)
 
-    words = d.where("doc_id is not null").select(F.explode(_tokens(F.col("text"))).alias("w"))
-    counts = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    # what stands between spaces or ends of lines: counts only order tokens, and any order gives the same result
+    pieces = d.where("doc_id is not null").select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
+    counts = pieces.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # half powers of two of the count of each slot: ``SLOTS`` small numbers, which become one constant of the plan
     known = {r.slot: r.level for r in counts.select("slot", F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1) * 2).cast("int")).alias("level")).collect()}
     levels = F.split(F.lit(",".join(str(known.get(i, 0)) for i in range(SLOTS))), ",").cast("array<bigint>")
 
     # a token as a number: the level of its count above 56 bits of its hash; numbers order tokens by rarity
-    def number(token: Column) -> Column:
-        return F.shiftleft(F.get(levels, _slot(token)), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(token), 8))
+    def number(h: Column) -> Column:
+        return F.shiftleft(F.get(levels, _slot(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    numbers = F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), number)))
+    hashes = F.transform(_tokens(F.col("line")), lambda w: F.xxhash64(w))
+    numbers = F.sort_array(F.array_distinct(F.transform("hashes", number)))
     size = F.size("numbers")
     prefix = F.slice("numbers", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-
-    def flips(k: int) -> Column:
-        def step(b: Column, x: Column) -> Column:
-            own = F.shiftright(x, 6).bitwiseAND(LONGS - 1) == k
-            return b.bitwiseXOR(F.when(own, F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))).otherwise(none))
-
-        return F.aggregate("numbers", none, step)
-
-    ready = lines.select(place.alias("place"), "h1", "h2", F.explode(F.array(numbers)).alias("numbers")).select("place", "h1", "h2", size.alias("size"), prefix.alias("prefix"), *(flips(k).alias(m) for k, m in enumerate(MAP)))
-    distinct = ready.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("size", "prefix", *MAP)))
-    # the map folded: each token flips one of 64 or of 128 bits
-    half = [F.col(a).bitwiseXOR(F.col(b)) for a, b in zip(MAP[: LONGS // 2], MAP[LONGS // 2 :])]
-    distinct = distinct.withColumns({"bits": reduce(lambda a, b: a.bitwiseXOR(b), half), **dict(zip(HALF, half))})
+    ready = lines.select(place.alias("place"), "h1", "h2", F.explode(F.array(hashes)).alias("hashes")).select("place", "h1", "h2", F.explode(F.array(numbers)).alias("numbers")).select("place", "h1", "h2", size.alias("size"), prefix.alias("prefix"), *_flips(HALF))
+    distinct = ready.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("size", "prefix", *HALF)))
+    # the map folded: each token flips one of 64 bits
+    distinct = distinct.withColumn("bits", reduce(lambda a, b: a.bitwiseXOR(b), map(F.col, HALF)))
     # the prefix's tokens by the 40 lower bits of their hashes: they only bring candidates together
     distinct = distinct.withColumn("prefix", F.transform("prefix", lambda x: x.bitwiseAND((1 << 40) - 1)))
     return Prepared(lines, materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "lines"), place, threshold)
@@ -167,15 +289,16 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     gives an empty result; other columns are not used.
     """
     p = _prepare(docs, threshold, id_col, text_col)
-    x, y = p.rows(*HALF).alias("x"), p.rows(*HALF).alias("y")
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
-    pairs = materialize(x.join(y, same & p.fits("x", "y", HALF)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    links = p.verified(pairs)
+    often = p.often()
+    deltas = p.deltas(often)
+    sure, links = p.within(deltas)
+    links = links.union(p.verified(materialize(p.across(often, deltas), "pairs")))
 
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     places = p.distinct.select("id", "place")
     ends = ends.join(places.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(places.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
     known = ends.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"), F.bool_or(F.col("pb") < F.col("pa")).alias("later"))
+    known = known.union(sure).groupBy("id").agg(F.sum("links").alias("links"), F.bool_or("later").alias("later"))
     known = p.distinct.select("id", "h1", "h2", F.col("place").alias("first"), "copies").join(known, "id", "left").where("copies > 1 or links is not null")
     marked = p.lines.drop("line").join(known, ["h1", "h2"])
     gone = F.coalesce(F.col("later"), F.lit(False)) | (p.place > F.col("first"))

@@ -77,6 +77,28 @@ def test_few_earlier_lines_settle_the_same_lines(spark):
     assert every == {r.doc_id: r.removed for r in line_dedup.repeated_lines(d).collect()}
 
 
+def test_links_of_near_copies_are_counted_without_their_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    base, other = [f"b{i}" for i in range(60)], [f"c{i}" for i in range(30)]
+    lines = []
+    for i in range(160):
+        w = list(base if i % 8 else other)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 5, 6, 9])):
+            w[rng.randrange(len(w))] = rng.choice([f"n{rng.randrange(900)}", f"s{rng.randrange(6)}"])
+        lines.append(" ".join(w + rng.choices(["s1", "s2", f"m{i}"], k=rng.randrange(6))))
+    lines += [lines[1], lines[2].upper(), " ".join(base[:49]), " ".join(base[:40] + other[:5]), "b1"]
+    rng.shuffle(lines)
+    sets = {x: set(x.lower().split()) for x in lines}
+    alike = {x: [y for y in sets if y != x and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9] for x in sets}
+    want = {i: (len(alike[x]), [0] if any(y == x or y in alike[x] for y in lines[:i]) else []) for i, x in enumerate(lines)}
+    taken, verified = [], line_dedup.Prepared.verified
+    monkeypatch.setattr(line_dedup.Prepared, "verified", lambda p, pairs: taken.append(pairs.count()) or verified(p, pairs))
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_links, r.removed) for r in line_dedup.removed_lines(d).collect()}
+    assert {i: got.get(i, (0, [])) for i in want} == want
+    assert sum(n for n, _ in want.values()) > 10_000 and sum(taken) < 2_000
+
+
 def test_lines_with_columns_of_the_operators_names(spark):
     d = spark.createDataFrame([(1, "a b c", 5, "x", "y"), (2, "a b c\nq", 6, "z", None)], "doc_id long, text string, doc int, removed string, Doc_ string".replace("Doc_", "place"))
     assert sorted(tuple(r) for r in line_dedup.dedup_lines(d).collect()) == [(1, "a b c", 5, "x", "y"), (2, "q", 6, "z", None)]
