@@ -40,6 +40,9 @@ from .common import discard, fresh, materialize, ship, small
 #: Slots of the table of token counts.
 SLOTS = 1 << 16
 
+#: Bits of a line's number in a place that is a long.
+PLACE = 23
+
 #: Longs in the bitmap of a line that is verified, a power of two, and the columns that hold them.
 LONGS = 4
 MAP = tuple(f"m{k}" for k in range(LONGS))
@@ -48,7 +51,7 @@ HALF = tuple(f"f{k}" for k in range(2))
 
 #: In how many prefixes a token is that is tried for groups, and one that is joined by classes of size; the lines of the least group.
 MANY = 32
-CLASSES = 256
+CLASSES = 128
 LEAST = 8
 
 #: How many lines just before a line, among those with one of its prefix tokens, are tried first.
@@ -73,8 +76,8 @@ def _place(docs: DataFrame) -> Column:
     """A number that orders all lines by doc_id and n: a long if ids and texts are small enough, else a decimal."""
     r = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.octet_length("text")).alias("long")).first()
     doc, n = F.col("doc_id"), F.col("n")
-    if r.low is None or r.low >= 0 and r.high < 1 << 40 and (r.long or 0) < 1 << 23:
-        return F.shiftleft(doc, 23).bitwiseOR(n.cast("long"))
+    if r.low is None or r.low >= 0 and r.high < 1 << 63 - PLACE and (r.long or 0) < 1 << PLACE:
+        return F.shiftleft(doc, PLACE).bitwiseOR(n.cast("long"))
     return (doc.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + n.cast("decimal(11,0)")).cast("decimal(38,0)")
 
 
@@ -84,14 +87,12 @@ def _slot(number: Column) -> Column:
 
 def _flips(columns: tuple[str, ...]) -> list[Column]:
     """The bitmap of the array ``numbers``: each number flips one bit."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    none = F.lit(0).cast("long")
 
     def flips(k: int) -> Column:
-        def step(b: Column, x: Column) -> Column:
-            own = F.shiftright(x, 6).bitwiseAND(len(columns) - 1) == k
-            return b.bitwiseXOR(F.when(own, F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))).otherwise(none))
-
-        return F.aggregate("numbers", none, step)
+        # the bit of each number as a constant: the step runs for each word
+        bits = F.array(*(F.lit(((1 << i % 64) + (1 << 63)) % (1 << 64) - (1 << 63) if i // 64 == k else 0).cast("long") for i in range(64 * len(columns))))
+        return F.aggregate("numbers", none, lambda b, x: b.bitwiseXOR(F.get(bits, x.bitwiseAND(64 * len(columns) - 1).cast("int"))))
 
     return [flips(k).alias(c) for k, c in enumerate(columns)]
 
@@ -103,8 +104,9 @@ def _column(row: str):
 
 @dataclass(frozen=True)
 class Prepared:
-    """``lines``: all lines; ``distinct``: one row for each that differs, with an id, its first place, how often it is there, and size, bits and prefix of its set."""
+    """``docs``: doc_id and text; ``lines``: all lines; ``distinct``: one row for each that differs, with an id, its first place, how often it is there, and size, bits and prefix of its set."""
 
+    docs: DataFrame
     lines: DataFrame
     distinct: DataFrame
     place: Column
@@ -128,40 +130,52 @@ class Prepared:
     def fits(self, x: str, y: str, columns: tuple[str, ...] = ("bits",), of=_column) -> Column:
         """Whether two rows of one token may be of similar lines: length, position, and bits that differ."""
         a, b = of(x), of(y)
-        ok = F.least(a("size") - a("i"), b("size") - b("i")) >= self._need(a("size") + b("size"))
-        ok = ok & (F.least(a("size"), b("size")) >= F.greatest(a("size"), b("size")) * self.threshold - 1e-9)
-        return ok & self.alike(x, y, columns, of)
+        # in this order, as the bits rule out most
+        ok = F.least(a("size"), b("size")) >= F.greatest(a("size"), b("size")) * self.threshold - 1e-9
+        ok = ok & self.alike(x, y, columns, of)
+        return ok & (F.least(a("size") - a("i"), b("size") - b("i")) >= self._need(a("size") + b("size")))
 
     def similar(self, common: Column, both: Column) -> Column:
         """Whether sets of so many words together that share so many are similar."""
         return common >= (both - common) * self.threshold - 1e-9
 
     def texts(self, met: DataFrame, name: str) -> DataFrame:
-        """The line of each row of ``met``, which has id, h1 and h2, with its other columns."""
+        """The set of words of each row of ``met``, which has id, place, h1 and h2, with its other columns."""
         rest = [c for c in met.columns if c not in ("h1", "h2")]
-        return materialize(self.lines.select("h1", "h2", "line").join(small(met), ["h1", "h2"]).groupBy(*rest).agg(F.min("line").alias("line")), name)
+        if met.schema["place"].dataType.typeName() == "long":
+            # only the documents of first places are split, and only their lines digested
+            n = F.col("place").bitwiseAND((1 << PLACE) - 1).cast("int").alias("n")
+            asked = met.groupBy(F.shiftright("place", PLACE).alias("doc_id")).agg(F.collect_list(F.struct(n, "h1", "h2", F.struct(*rest).alias("row"))).alias("asked"))
+            parts = self.docs.join(small(materialize(asked, "asked")), "doc_id").select(F.split("text", "\n").alias("parts"), "asked")
+            parts = parts.select("parts", F.explode("asked").alias("at")).select("at.row", "at.h1", "at.h2", F.get("parts", F.col("at.n")).alias("line"))
+            own = (F.xxhash64("line") == F.col("h1")) & (F.xxhash64("line", F.lit(17)) == F.col("h2"))  # ids may repeat
+            found = parts.where(own).select("row.*", "line")
+        else:
+            found = self.lines.select("h1", "h2", "line").join(small(met), ["h1", "h2"])
+        found = found.groupBy(*rest).agg(F.min("line").alias("line"))
+        return materialize(found.select(*rest, F.array_distinct(_tokens(F.col("line"))).alias("words")), name)
 
     def _near(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs whose sets may still be similar by their whole maps."""
-        numbers = F.transform(F.array_distinct(_tokens(F.col("line"))), lambda w: F.xxhash64(w))
+        numbers = F.transform("words", lambda w: F.xxhash64(w))
         maps = materialize(texts.select("id", F.explode(F.array(numbers)).alias("numbers")).select("id", F.size("numbers").alias("size"), *_flips(MAP)), "maps")
         maps = small(maps)
         near = pairs.join(maps.alias("x"), F.col("a") == F.col("x.id")).join(maps.alias("y"), F.col("b") == F.col("y.id"))
         return near.where(self.alike("x", "y", MAP)).select("a", "b")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of ids whose sets of words are similar."""
+    def verified(self, pairs: DataFrame, screen: bool = False) -> DataFrame:
+        """The pairs (a, b) of ids whose sets of words are similar, and their places (pa, pb); ``screen`` for pairs of which few are: larger bitmaps rule most out first."""
         met = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        met = materialize(self.distinct.select("id", "h1", "h2").join(small(met), "id", "left_semi"), "met")
+        met = materialize(self.distinct.select("id", "place", "h1", "h2").join(small(met), "id", "left_semi"), "met")
         texts = self.texts(met, "texts")
-        pairs = self._near(pairs, texts)
-        first = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-        second = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-        sets = [F.array_distinct(_tokens(F.col(c))) for c in ("line_a", "line_b")]
-        both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", F.explode(F.array(F.struct(sets[0].alias("x"), sets[1].alias("y")))).alias("s"))
-        common = F.size(F.array_intersect("s.x", "s.y"))
-        both = both.select("a", "b", F.explode(F.array(F.struct(common.alias("common"), (F.size("s.x") + F.size("s.y")).alias("all")))).alias("s"))
-        found = materialize(both.where(self.similar(F.col("s.common"), F.col("s.all"))).select("a", "b"), "links")
+        if screen:
+            pairs = self._near(pairs, texts)
+        first = texts.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("words").alias("x"))
+        second = texts.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("words").alias("y"))
+        both = pairs.select("a", "b").join(first, "a").join(second, "b")
+        common = F.size(F.array_intersect("x", "y"))
+        both = both.select("a", "b", "pa", "pb", F.explode(F.array(F.struct(common.alias("common"), (F.size("x") + F.size("y")).alias("all")))).alias("s"))
+        found = materialize(both.where(self.similar(F.col("s.common"), F.col("s.all"))).select("a", "b", "pa", "pb"), "links")
         for t in (met, texts):
             discard(t)
         return found
@@ -188,22 +202,52 @@ class Prepared:
         top = materialize(top, "leads")
         heads = top.select("g").distinct().join(small(up.select(F.col("id").alias("g"))), "g", "left_anti")
         top = top.union(heads.select(F.col("g").alias("id"), "g"))
-        large = materialize(top.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST), "groups")
-        members = self.distinct.select("id", "h1", "h2", "place").join(small(materialize(top.join(small(large), "g"), "members")), "id")
-        lines = self.texts(materialize(members, "members"), "texts")
-        words = materialize(lines.select("id", "g", "n", "place", F.array_distinct(_tokens(F.col("line"))).alias("words")), "words")
+        members = self.gathered(materialize(self._large(top), "members"))
+        members = self.distinct.select("id", "h1", "h2", "place").join(small(members), "id")
+        words = self.texts(materialize(members, "members"), "words")
         most = words.select("g", "n", F.explode("words").alias("w")).groupBy("g", "n", "w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 2 > F.col("n"))
         most = materialize(most.groupBy("g").agg(F.collect_list("w").alias("most")), "most")
         told = words.join(small(most), "g").select("id", "g", "place", F.size("words").alias("size"), F.array_except("words", "most").alias("more"), F.array_except("most", "words").alias("less"))
         told = told.select("*", F.size("more").alias("m"), F.size("less").alias("l"))
         apart = (1 - self.threshold) / (1 + self.threshold)
         found = materialize(told.where(F.col("m") + F.col("l") <= F.col("size") * 2 * apart), "deltas")
-        for t in (up, lines, words, most, large):
+        for t in (up, words, most):
+            discard(t)
+        return found
+
+    @staticmethod
+    def _large(top: DataFrame) -> DataFrame:
+        """The rows (id, g) of groups of ``LEAST`` lines or more, with their number n."""
+        large = materialize(top.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST), "groups")
+        return top.join(small(large), "g").select("id", "g", "n")
+
+    def gathered(self, members: DataFrame) -> DataFrame:
+        """The lines (id) by group (g) of n lines, each with the group whose middle is nearest.
+
+        A first line may stand at the edge of its group, so that lines of one base were dealt to several groups or to none.
+        The middle has the bits that most lines of a group have.  A token of many prefixes of a group stands for the group
+        that has it most often, so groups of one base become one.
+        """
+        own = materialize(self.distinct.select("id", "size", "prefix", *HALF).join(small(members), "id"), "own")
+        bits = own.select("g", "n", "size", *HALF, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        told = bits.groupBy("g", "n", "i").agg(F.avg("size").alias("size"), *(F.sum(F.call_function("shiftright", F.col(c), F.col("i")).bitwiseAND(1)).alias(c) for c in HALF))
+        most = [F.bit_or(F.when(F.col(c) * 2 > F.col("n"), F.call_function("shiftleft", one, F.col("i"))).otherwise(none)).alias(c) for c in HALF]
+        middle = told.groupBy("g").agg(F.round(F.first("size")).cast("int").alias("size"), *most)
+        tokens = own.select("g", "n", F.explode("prefix").alias("token")).groupBy("g", "n", "token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 4 >= F.col("n"))
+        tokens = tokens.groupBy("token").agg(F.max_by("g", F.struct("k", "g")).alias("g"))
+        middle = materialize(tokens.join(small(materialize(middle, "middles")), "g").select("token", F.struct("g", "size", *HALF).alias("x")), "middles")
+        apart = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in HALF))
+        most_apart = F.col("y.size") * (2 * (1 - self.threshold) / (1 + self.threshold))
+        tried = self.rows(*HALF).alias("y").join(small(middle), "token").where((apart <= most_apart) & (F.abs(F.col("x.size") - F.col("y.size")) <= most_apart))
+        top = tried.groupBy(F.col("y.id").alias("id")).agg(F.min_by("x.g", F.struct(apart, "x.g")).alias("g"))
+        found = materialize(self._large(materialize(top, "gathered")), "gathered")
+        for t in (own, middle):
             discard(t)
         return found
 
     def within(self, deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of the lines of ``deltas``: id, links and later, by the pairs of a group that numbers alone tell to be similar; and the other similar pairs (a, b) of a group."""
+        """Of the lines of ``deltas``: id, links and the first place of another (other), by the pairs of a group that numbers alone tell to be similar; and the other similar pairs (a, b) of a group, with their places (pa, pb)."""
         x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
         shared, both = x("size") - x("m") - y("l"), x("size") + y("size")
         kinds = materialize(deltas.groupBy("g", "size", "m", "l").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")), "kinds")
@@ -212,15 +256,15 @@ class Prepared:
         # a line is not linked with itself
         own = F.col("size") - F.col("m") - F.col("l")
         own = self.similar(own, F.col("size") * 2).cast("int")
-        sure = deltas.select("id", "place", "g", "size", "m", "l").join(small(materialize(sure, "sure")), ["g", "size", "m", "l"])
-        sure = sure.select("id", (F.col("links") - own).alias("links"), (F.col("first") < F.col("place")).alias("later"))
+        sure = deltas.select("id", "g", "size", "m", "l").join(small(materialize(sure, "sure")), ["g", "size", "m", "l"])
+        sure = sure.select("id", (F.col("links") - own).alias("links"), F.col("first").alias("other"))
 
         signed = F.concat(F.transform("more", lambda w: F.concat(F.lit("+"), w)), F.transform("less", lambda w: F.concat(F.lit("-"), w)))
-        parts = deltas.select("id", "g", "size", "m", "l", F.explode(signed).alias("w"))
+        parts = deltas.select("id", "place", "g", "size", "m", "l", F.explode(signed).alias("w"))
         may = shared + F.least(x("m"), y("m")) + F.least(x("l"), y("l"))
         met = (x("g") == y("g")) & (x("w") == y("w")) & (x("id") < y("id")) & ~self.similar(shared, both) & self.similar(may, both)
-        pairs = parts.alias("x").join(parts.alias("y"), met).groupBy(x("id").alias("a"), y("id").alias("b"), shared.alias("shared"), both.alias("both")).agg(F.count(F.lit(1)).alias("c"))
-        return sure, pairs.where(self.similar(F.col("shared") + F.col("c"), F.col("both"))).select("a", "b")
+        pairs = parts.alias("x").join(parts.alias("y"), met).groupBy(x("id").alias("a"), y("id").alias("b"), x("place").alias("pa"), y("place").alias("pb"), shared.alias("shared"), both.alias("both")).agg(F.count(F.lit(1)).alias("c"))
+        return sure, pairs.where(self.similar(F.col("shared") + F.col("c"), F.col("both"))).select("a", "b", "pa", "pb")
 
     def across(self, often: DataFrame, deltas: DataFrame) -> DataFrame:
         """The pairs (a, b) of lines, not of one group, that may be similar: by the prefix of the smaller that such pairs share, and classes of size for tokens of ``often``."""
@@ -262,23 +306,27 @@ def _prepare(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> P
     counts = pieces.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # half powers of two of the count of each slot: ``SLOTS`` small numbers, which become one constant of the plan
     known = {r.slot: r.level for r in counts.select("slot", F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1) * 2).cast("int")).alias("level")).collect()}
-    levels = F.split(F.lit(",".join(str(known.get(i, 0)) for i in range(SLOTS))), ",").cast("array<bigint>")
+    levels = F.split(F.lit(",".join(str(known.get(i, 0) << 56) for i in range(SLOTS))), ",").cast("array<bigint>")
 
     # a token as a number: the level of its count above 56 bits of its hash; numbers order tokens by rarity
     def number(h: Column) -> Column:
-        return F.shiftleft(F.get(levels, _slot(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.get(levels, _slot(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     hashes = F.transform(_tokens(F.col("line")), lambda w: F.xxhash64(w))
-    numbers = F.sort_array(F.array_distinct(F.transform("hashes", number)))
+    numbers = F.sort_array(F.transform("hashes", number))
     size = F.size("numbers")
     prefix = F.slice("numbers", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    ready = lines.select(place.alias("place"), "h1", "h2", F.explode(F.array(hashes)).alias("hashes")).select("place", "h1", "h2", F.explode(F.array(numbers)).alias("numbers")).select("place", "h1", "h2", size.alias("size"), prefix.alias("prefix"), *_flips(HALF))
+    # step by step: what stands over a function of words in one expression runs without generated code
+    ready = lines.select(place.alias("place"), "h1", "h2", F.explode(F.array(hashes)).alias("hashes"))
+    for name, step in (("hashes", F.array_distinct("hashes")), ("numbers", numbers)):
+        ready = ready.select("place", "h1", "h2", F.explode(F.array(step)).alias(name))
+    ready = ready.select("place", "h1", "h2", size.alias("size"), prefix.alias("prefix"), *_flips(HALF))
     distinct = ready.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("size", "prefix", *HALF)))
     # the map folded: each token flips one of 64 bits
     distinct = distinct.withColumn("bits", reduce(lambda a, b: a.bitwiseXOR(b), map(F.col, HALF)))
     # the prefix's tokens by the 40 lower bits of their hashes: they only bring candidates together
     distinct = distinct.withColumn("prefix", F.transform("prefix", lambda x: x.bitwiseAND((1 << 40) - 1)))
-    return Prepared(lines, materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "lines"), place, threshold)
+    return Prepared(d, lines, materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "lines"), place, threshold)
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,15 +340,14 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     often = p.often()
     deltas = p.deltas(often)
     sure, links = p.within(deltas)
-    links = links.union(p.verified(materialize(p.across(often, deltas), "pairs")))
+    links = materialize(links, "links").union(p.verified(materialize(p.across(often, deltas), "pairs")))
 
-    ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    places = p.distinct.select("id", "place")
-    ends = ends.join(places.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(places.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
-    known = ends.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"), F.bool_or(F.col("pb") < F.col("pa")).alias("later"))
-    known = known.union(sure).groupBy("id").agg(F.sum("links").alias("links"), F.bool_or("later").alias("later"))
+    ends = links.select(F.col("a").alias("id"), F.col("pb").alias("place")).union(links.select(F.col("b").alias("id"), F.col("pa").alias("place")))
+    known = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.min("place").alias("other"))
+    known = known.union(sure).groupBy("id").agg(F.sum("links").alias("links"), F.min("other").alias("other"))
     known = p.distinct.select("id", "h1", "h2", F.col("place").alias("first"), "copies").join(known, "id", "left").where("copies > 1 or links is not null")
-    marked = p.lines.drop("line").join(known, ["h1", "h2"])
+    known = known.select("h1", "h2", "first", "links", (F.col("other") < F.col("first")).alias("later"))
+    marked = p.lines.drop("line").join(small(materialize(known, "known")), ["h1", "h2"])
     gone = F.coalesce(F.col("later"), F.lit(False)) | (p.place > F.col("first"))
     return marked.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(gone, F.col("n")))).alias("removed"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
 
@@ -314,15 +361,15 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     tried = tried.select("y", F.explode("earlier").alias("x")).where((F.col("x.place") < F.col("y.place")) & p.fits("x", "y"))
     apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     best = materialize(tried.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), apart.alias("apart")).groupBy("a").agg(F.min_by("b", "apart").alias("b")), "best")
-    settled = p.verified(best).select(F.col("a").alias("id"))
+    settled = p.verified(best, True).select(F.col("a").alias("id"))
 
     open_ids = settled.withColumn("open", F.lit(0))
-    marked = Prepared(p.lines, p.distinct.join(small(open_ids), "id", "left").withColumn("open", F.coalesce("open", F.lit(1))), p.place, threshold)
+    marked = Prepared(p.docs, p.lines, p.distinct.join(small(open_ids), "id", "left").withColumn("open", F.coalesce("open", F.lit(1))), p.place, threshold)
     x, y = marked.rows("open", *HALF).alias("x"), marked.rows("open", *HALF).alias("y")
     # y is open; told by both sides, so that both are one exchange
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.place") < F.col("y.place")) & (F.col("x.open") + 2 * F.col("y.open") >= 2)
     rest = materialize(x.join(y, same & p.fits("x", "y", HALF)).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "rest")
-    later = settled.union(p.verified(rest).select(F.col("a").alias("id"))).distinct().withColumn("later", F.lit(True))
+    later = settled.union(p.verified(rest, True).select(F.col("a").alias("id"))).distinct().withColumn("later", F.lit(True))
 
     known = p.distinct.select("id", "h1", "h2", F.col("place").alias("first"), "copies").join(later, "id", "left").where("copies > 1 or later")
     marked = p.lines.drop("line").join(known, ["h1", "h2"])

@@ -42,7 +42,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every document that repeat an earlier line, with a similarity of word sets of 0.8 or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
+    text = F.coalesce("text", F.lit(""))
+    lines = docs.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
     gone = removed_lines(docs, threshold=0.8)
     out = lines.join(gone, "doc_id", "left")
     n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
