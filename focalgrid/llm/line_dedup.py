@@ -9,7 +9,7 @@ a set of Jaccard similarity ``threshold`` or more with it.
 3. Prefix filter: two similar sets share one of the first n - ceil(t * n) + 1 tokens of each.  These tokens are joined
    with themselves, under the length filter and the positional filter, and under a bound on the sets' symmetric
    difference: each token flips one of 128 bits, so at least as many tokens differ as bits of the XOR are set.
-4. Candidates that 256 bits don't rule out are verified on the full sets of their lines.
+4. Candidates are verified on the full sets of their lines; ``repeated_lines`` first rules out those that 256 bits tell.
 
 ``removed_lines`` counts every link.  Lines of large groups of near copies are not paired for that: each is described by
 the words that it has more and less than the words of most lines of its group.  Two lines of a group share all of these
