@@ -392,6 +392,23 @@ def test_topics_take_each_document_once_and_infer_as_spark(spark):
     assert (alpha > 0).all() and np.abs(alpha - 0.5).max() > 1e-4
 
 
+def test_long_documents_settle_under_flat_topics_in_few_updates(monkeypatch):
+    rng, made, real = np.random.default_rng(5), [], np.matmul
+    beta = topics.word_weights(rng.gamma(100, 0.01, (3000, 50)))
+    words = np.concatenate([rng.permutation(3000)[:1000] for _ in range(8)])
+    counts, starts, alpha = rng.integers(1, 4, len(words)).astype(np.float32), np.arange(0, 8001, 1000), np.ones(50)
+    sums = np.zeros(beta.shape)
+    monkeypatch.setattr(np, "matmul", lambda *a: made.append(1) or real(*a))
+    got = topics.infer(starts, words, counts, beta.astype(np.float32), alpha, sums)
+    assert len(made) < 400  # two for each update of a group; plain updates took 1,452
+    assert np.allclose((sums * beta).sum(axis=1), np.bincount(words, counts, 3000), atol=1e-2)
+    assert np.allclose(got.sum(axis=1), np.add.reduceat(counts, starts[:-1]) + 50, rtol=1e-4)
+    for i in range(8):
+        b, c, gamma = beta[words[starts[i] : starts[i + 1]]], counts[starts[i] : starts[i + 1]], got[i]
+        theta = np.exp(topics.expectation(gamma))
+        assert np.abs(theta * ((c / (b @ theta)) @ b) + alpha - gamma).mean() < 2 * topics.SETTLED
+
+
 def test_classes(spark):
     rows = spark.createDataFrame([(f"s{i}", float(i % 2), [float(i % 2) + 0.01 * i, 1.0, float(i % 7)]) for i in range(60)], "study_id string, label double, x array<double>")
     assert classify.select_features(rows, "1-best") == [0]
